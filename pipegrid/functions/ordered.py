@@ -21,7 +21,7 @@ def with_range_bucket(
     df: DataFrame, order: str, rows_per_bucket: int = ROWS_PER_BUCKET, name: str = "__bucket"
 ) -> DataFrame:
     """Add a bucket number that grows with ``order`` (numeric or timestamp)."""
-    numeric = F.unix_micros(order) if dict(df.dtypes)[order].startswith("timestamp") else F.col(order)
+    numeric = F.unix_micros(F.col(order).cast("timestamp")) if dict(df.dtypes)[order].startswith("timestamp") else F.col(order)
     work = df.withColumn("__order", numeric.cast("double"))
     n = work.count()
     n_buckets = -(-n // rows_per_bucket)

@@ -73,8 +73,8 @@ def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(
             F.count("*").cast("double").alias("n_lines"),
             F.sum("l_quantity").alias("sum_qty"),
-            F.avg("l_discount").alias("avg_discount"),
-            F.avg("l_tax").alias("avg_tax"),
+            F.round(F.avg("l_discount"), 6).alias("avg_discount"),
+            F.round(F.avg("l_tax"), 6).alias("avg_tax"),
             F.max("l_extendedprice").alias("max_price"),
         )
     )
@@ -89,8 +89,8 @@ def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORDERS_CTE = """
 lines as (
-  select l_orderkey, cast(count(*) as double) as n_lines, sum(l_quantity) as sum_qty, avg(l_discount) as avg_discount,
-         avg(l_tax) as avg_tax, max(l_extendedprice) as max_price
+  select l_orderkey, cast(count(*) as double) as n_lines, sum(l_quantity) as sum_qty, round(avg(l_discount), 6) as avg_discount,
+         round(avg(l_tax), 6) as avg_tax, max(l_extendedprice) as max_price
   from lineitem group by l_orderkey),
 raw as (
   select o_orderkey as row_id, cast(o_orderpriority in ('1-URGENT', '2-HIGH') as integer) as label,
