@@ -55,50 +55,74 @@ def block_score(fn: Callable[[np.ndarray], np.ndarray], array: Column, dim: int)
     return run(array)
 
 
-def partial_sums(
+def partition_fold(
     df: DataFrame,
     arrays: dict[str, int],
     scalars: Sequence[str],
-    fn: Callable[[dict[str, np.ndarray]], np.ndarray],
+    start: Callable[[], object],
+    step: Callable[[object, dict[str, np.ndarray]], object],
+    finish: Callable[[object], np.ndarray],
     length: int,
     combine: str = "sum",
 ) -> np.ndarray:
-    """Combine ``fn(batch)`` over all batches of ``df``; ``combine`` is sum or min.
+    """Fold the batches of each partition into a state, and combine the finished vectors.
 
-    ``fn`` gets a dict of numpy blocks (array columns) and vectors (scalar columns) and
-    returns a vector of ``length`` doubles.
+    ``step`` gets a dict of numpy blocks (array columns) and vectors (scalar columns).
+    ``combine`` is sum or min.
     """
-    start = 0.0 if combine == "sum" else math.inf
+    neutral = 0.0 if combine == "sum" else math.inf
     merge = np.add if combine == "sum" else np.minimum
 
     def per_partition(batches):
-        total = np.full(length, start)
-        seen = False
+        state, seen = None, False
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             data = {c: as_block(batch.column(c), d) for c, d in arrays.items()}
             data.update({c: batch.column(c).to_numpy(zero_copy_only=False) for c in scalars})
-            total = merge(total, fn(data))
+            state = step(state if seen else start(), data)
             seen = True
         if seen:
-            yield pa.RecordBatch.from_arrays([from_block(total[None, :])], names=["v"])
+            yield pa.RecordBatch.from_arrays([from_block(finish(state)[None, :])], names=["v"])
 
     parts = df.select(*arrays, *scalars).mapInArrow(per_partition, "v array<double>")
-    n_parts = df.rdd.getNumPartitions() if not df.isStreaming else 1
+    n_parts = df.rdd.getNumPartitions()
     if n_parts > 64:
-        parts = _merge_groups(parts, length, merge, start, math.ceil(math.sqrt(n_parts)))
-    total = np.full(length, start)
-    for row in parts.toArrow().column("v").to_pylist():
-        total = merge(total, np.asarray(row))
+        parts = _merge_groups(parts, length, merge, neutral, math.ceil(math.sqrt(n_parts)))
+    total = np.full(length, neutral)
+    for chunk in parts.toArrow().column("v").chunks:
+        for row in as_block(chunk, length):
+            total = merge(total, row)
     return total
 
 
-def _merge_groups(parts: DataFrame, length: int, merge, start: float, groups: int) -> DataFrame:
+def partial_sums(
+    df: DataFrame,
+    arrays: dict[str, int],
+    scalars: Sequence[str],
+    fn: Callable[[dict[str, np.ndarray]], np.ndarray],
+    length: int,
+    combine: str = "sum",
+) -> np.ndarray:
+    """Combine ``fn(batch)``, a vector of ``length`` doubles, over all batches of ``df``."""
+    merge = np.add if combine == "sum" else np.minimum
+    return partition_fold(
+        df,
+        arrays,
+        scalars,
+        lambda: None,
+        lambda state, data: fn(data) if state is None else merge(state, fn(data)),
+        lambda state: state,
+        length,
+        combine,
+    )
+
+
+def _merge_groups(parts: DataFrame, length: int, merge, neutral: float, groups: int) -> DataFrame:
     """First level of the sum: about sqrt(partitions) vectors per group."""
 
     def merge_group(table: pa.Table) -> pa.Table:
-        total = np.full(length, start)
+        total = np.full(length, neutral)
         for chunk in table.column("v").chunks:
             for row in as_block(chunk, length):
                 total = merge(total, row)

@@ -147,3 +147,144 @@ def i2(spark, sf):
     scaled = scale.fit_min_max(filled.train()).apply(filled)
     chosen = select.fit_select_percentile(scaled.train()).apply(scaled)
     return metrics.scores(bayes.fit_gaussian_nb(chosen.train()).predict(chosen), ["split"])
+
+
+# ------------------------------------------------------------------ discriminants, closed form for two features
+
+TWO = ["letter_share", "mean_word"]
+
+
+def two_features(spark, sf):
+    x = fx.split_documents(spark, sf)
+    return x.select_columns([DOC_COLUMNS.index(c) for c in TWO])
+
+
+def moments_sql(by_class: bool) -> str:
+    group = "group by label" if by_class else ""
+    return f"""select {'label as c,' if by_class else ''} count(*) as n, avg(u) as mu, avg(v) as mv,
+      sum(u * u) - count(*) * avg(u) * avg(u) as suu, sum(u * v) - count(*) * avg(u) * avg(v) as suv,
+      sum(v * v) - count(*) * avg(v) * avg(v) as svv from two where split = 'train' {group}"""
+
+
+TWO_CTE = f"{fx.DOCS_CTE}, two as (select row_id, label, split, {TWO[0]} as u, {TWO[1]} as v from data)"
+LDA_SQL = f"""with {TWO_CTE}, k as ({moments_sql(True)}),
+tot as (select sum(n) as n, sum(suu) / (sum(n) - count(*)) as a, sum(suv) / (sum(n) - count(*)) as b,
+  sum(svv) / (sum(n) - count(*)) as d from k),
+co as (select k.c, (d * mu - b * mv) / (a * d - b * b) as wu, (a * mv - b * mu) / (a * d - b * b) as wv,
+  -0.5 * (mu * (d * mu - b * mv) + mv * (a * mv - b * mu)) / (a * d - b * b) + ln(k.n / tot.n::double) as w0 from k cross join tot)
+select row_id, label, split, arg_max(c, u * wu + v * wv + w0) as y_pred from two cross join co group by row_id, label, split"""
+
+
+@query("g4_linear_discriminant_two", LDA_SQL)
+def g4_two(spark, sf):
+    from pipegrid.operators.discriminant import fit_lda
+
+    x = two_features(spark, sf)
+    return fit_lda(x.train()).predict(x)
+
+
+QDA_SQL = f"""with {TWO_CTE}, k as ({moments_sql(True)}),
+co as (select c, n, mu, mv, suu / (n - 1) as a, suv / (n - 1) as b, svv / (n - 1) as d, (select sum(n) from k) as total from k)
+select row_id, label, split, arg_max(c, -0.5 * ((u - mu) * (u - mu) * d - 2 * (u - mu) * (v - mv) * b + (v - mv) * (v - mv) * a)
+    / (a * d - b * b) - 0.5 * ln(a * d - b * b) + ln(n / total::double)) as y_pred
+from two cross join co group by row_id, label, split"""
+
+
+@query("g5_quadratic_discriminant_two", QDA_SQL)
+def g5_two(spark, sf):
+    from pipegrid.operators.discriminant import fit_qda
+
+    x = two_features(spark, sf)
+    return fit_qda(x.train()).predict(x)
+
+
+# ------------------------------------------------------------------ projections, closed form for two features
+
+PCA_SQL = f"""with {fx.EMB_CTE}, st as (select avg(f_0) as m0, avg(f_1) as m1, var_samp(f_0) as a, covar_samp(f_0, f_1) as b,
+  var_samp(f_1) as d from data where split = 'train'),
+ev as (select *, (a + d) / 2 + sqrt((a - d) * (a - d) / 4 + b * b) as l1, (a + d) / 2 - sqrt((a - d) * (a - d) / 4 + b * b) as l2 from st),
+vec as (select *, b / sqrt(b * b + (l1 - a) * (l1 - a)) as p, (l1 - a) / sqrt(b * b + (l1 - a) * (l1 - a)) as q from ev),
+-- first axis (p, q), second (-q, p), each with its largest loading positive
+signed as (select *, case when abs(p) >= abs(q) then sign(p) else sign(q) end as s1,
+  case when abs(q) >= abs(p) then sign(-q) else sign(p) end as s2 from vec)
+select row_id, label, split, round(((f_0 - m0) * p + (f_1 - m1) * q) * s1, 6) + 0.0 as c_0,
+  round(((f_0 - m0) * -q + (f_1 - m1) * p) * s2, 6) + 0.0 as c_1 from data cross join signed"""
+
+
+@query("f1_principal_axes_two", PCA_SQL)
+def f1_two(spark, sf):
+    from pipegrid.operators.project import fit_pca
+    from workload.prep import flat
+
+    x = fx.split_embeddings(spark, sf).select_columns([0, 1])
+    return flat(fit_pca(x.train()).apply(x), ["c_0", "c_1"])
+
+
+WARD_SQL = f"""with {fx.EMB_CTE}, st as (select sum(pow(f_0 - f_1, 2)) as d01, sum(pow(f_0 - f_2, 2)) as d02,
+  sum(pow(f_1 - f_2, 2)) as d12 from data where split = 'train')
+select row_id, label, split,
+  round(case when d01 <= d02 and d01 <= d12 then (f_0 + f_1) / 2 when d02 <= d12 then (f_0 + f_2) / 2 else f_0 end, 6) + 0.0 as g_0,
+  round(case when d01 <= d02 and d01 <= d12 then f_2 when d02 <= d12 then f_1 else (f_1 + f_2) / 2 end, 6) + 0.0 as g_1
+from data cross join st"""
+
+
+@query("f3_merge_columns_three", WARD_SQL)
+def f3_three(spark, sf):
+    from pipegrid.operators.project import fit_agglomeration
+    from workload.prep import rounded
+
+    x = fx.split_embeddings(spark, sf).select_columns([0, 1, 2])
+    return rounded(fit_agglomeration(x.train(), clusters=2).apply(x))
+
+
+# ------------------------------------------------------------------ feature steps and models without a SQL form
+
+
+def scaled_documents(spark, sf):
+    """The learnable table: standardised document features with the quality label."""
+    x = fx.split_documents(spark, sf)
+    return scale.fit_standard(x.train()).apply(x)
+
+
+def step_rows(name, fit, source=scaled_documents):
+    @query(name)
+    def run(spark, sf):
+        from workload.prep import rounded
+
+        x = source(spark, sf)
+        return rounded(fit(x.train(), fx.SEED).apply(x))
+
+    return run
+
+
+def model_rows(name, fit, source=scaled_documents):
+    @query(name)
+    def run(spark, sf):
+        x = source(spark, sf)
+        return fit(x.train(), fx.SEED).predict(x)
+
+    return run
+
+
+from pipegrid.operators import boosting, discriminant, forests, landmark, linear, mlp, project, trees  # noqa: E402
+
+step_rows("f1_pca", project.fit_pca, fx.split_embeddings)
+step_rows("f2_fast_ica", project.fit_ica)
+step_rows("f3_feature_agglomeration", project.fit_agglomeration, fx.split_embeddings)
+step_rows("f4_kernel_pca", landmark.fit_kernel_pca)
+step_rows("f5_nystroem", landmark.fit_nystroem)
+step_rows("f8_random_trees_embedding", trees.fit_random_trees_embedding)
+step_rows("f9_select_extra_trees", select.fit_select_extra_trees)
+step_rows("f10_select_linear_svc", select.fit_select_l1)
+model_rows("g4_linear_discriminant", discriminant.fit_lda)
+model_rows("g5_quadratic_discriminant", discriminant.fit_qda)
+model_rows("g7_decision_tree", forests.fit_decision_tree)
+model_rows("g8_random_forest", forests.fit_random_forest)
+model_rows("g9_extra_trees", trees.fit_extra_trees)
+model_rows("g10_adaboost", boosting.fit_adaboost)
+model_rows("g11_gradient_boosting", forests.fit_gradient_boosting)
+model_rows("g12_linear_svc", linear.fit_squared_hinge)
+model_rows("g13_sgd_logistic", linear.fit_logistic)
+model_rows("g14_passive_aggressive", linear.fit_passive_aggressive)
+model_rows("g15_kernel_svc", landmark.fit_kernel_svm)
+model_rows("g16_mlp", mlp.fit_mlp)
