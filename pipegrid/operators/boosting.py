@@ -188,54 +188,56 @@ def fit_boosted_trees(
     )
     start = total[:-1] / total[-1]
     done: list[Round] = []
-    fresh: list[Round] = []
-    # the costs column holds what is left to explain
+    # the costs column holds what is left to explain; a lost block is recomputed from the
+    # last checkpoint through at most CHECKPOINT_ROUNDS narrow steps
     residual = block_map(lambda c: c - start, F.col("costs"), n_outputs)
-    base = hold(train.select("features", residual.alias("costs")))
-    for _ in range(rounds):
-        grown = _grow_round(base, arrays, edges, bins, fresh, rate, depth, min_leaf, ridge)
+    base = hold(_sized(train.select("features", residual.alias("costs"))))
+    previous = None
+    for r in range(rounds):
+        grown = _grow_round(base, arrays, edges, bins, depth, min_leaf, ridge)
         if linear_leaves:
-            grown = _linear_leaves(base, arrays, grown, fresh, rate, min_leaf)
+            grown = _linear_leaves(base, arrays, grown, min_leaf)
         done.append(grown)
-        fresh.append(grown)
-        if len(fresh) == CHECKPOINT_ROUNDS:
-            written = cut_lineage(_explained(base, fresh, rate, n_features, n_outputs))
-            base.unpersist()
-            base, fresh = hold(written), []
+        if previous is not None:
+            previous.unpersist()
+        fresh = _explained(base, grown, rate, n_features, n_outputs)
+        if (r + 1) % CHECKPOINT_ROUNDS == 0:
+            fresh = cut_lineage(fresh)
+        previous, base = base, hold(fresh)
     base.unpersist()
+    previous.unpersist()
     return BoostedTrees(start, tuple(done), rate)
 
 
-def _explained(base: DataFrame, fresh: list[Round], rate: float, n_features: int, n_outputs: int) -> DataFrame:
-    trees = list(fresh)
+ROWS_PER_PARTITION = 5_000  # below this, merging histograms costs more than building them
 
+
+def _sized(df: DataFrame) -> DataFrame:
+    """Partitions by row count: none of them sends a histogram for a handful of rows."""
+    with held(df) as rows:
+        needed = max(1, -(-rows.count() // ROWS_PER_PARTITION))
+        present = rows.rdd.getNumPartitions()
+    if needed < present:
+        return df.coalesce(needed)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(min(needed, cores)) if present < min(needed, cores) else df
+
+
+def _explained(base: DataFrame, grown: Round, rate: float, n_features: int, n_outputs: int) -> DataFrame:
     def left_over(both: np.ndarray) -> np.ndarray:
         x = both[:, :n_features]
-        rest = both[:, n_features:].copy()
-        for r in trees:
-            rest -= rate * r.values(x)
-        return rest
+        return both[:, n_features:] - rate * grown.values(x)
 
     joined = F.concat("features", "costs")
     return base.select("features", block_map(left_over, joined, n_features + n_outputs).alias("costs"))
 
 
-def _residuals(data: dict, fresh: list[Round], rate: float) -> tuple[np.ndarray, np.ndarray]:
-    x, rest = data["features"], data["costs"]
-    if fresh:
-        rest = rest.copy()
-        for r in fresh:
-            rest -= rate * r.values(x)
-    return x, rest
-
-
-def _grow_round(base, arrays, edges, bins, fresh, rate, depth, min_leaf, ridge) -> Round:
+def _grow_round(base, arrays, edges, bins, depth, min_leaf, ridge) -> Round:
     n_features, n_outputs = arrays["features"], arrays["costs"]
     nodes = 2 ** (depth + 1) - 1
     column = np.full((n_outputs, nodes), -1, dtype=np.int64)
     threshold = np.zeros((n_outputs, nodes))
     leaf = np.zeros((n_outputs, nodes, 1))
-    trees = list(fresh)
     for level in range(depth):
         width = 2**level
         first = width - 1
@@ -243,7 +245,7 @@ def _grow_round(base, arrays, edges, bins, fresh, rate, depth, min_leaf, ridge)
         cells = width * bins
 
         def histogram(data, current=current, first=first, width=width, cells=cells):
-            x, rest = _residuals(data, trees, rate)
+            x, rest = data["features"], data["costs"]
             codes = bin_codes(x, edges)
             at = current.positions(x) - first
             out = np.zeros((n_outputs, n_features, 2, cells))
@@ -288,12 +290,11 @@ def _score(part: np.ndarray, ridge: float) -> np.ndarray:
     return part[:, :, 0] ** 2 / np.maximum(part[:, :, 1] + ridge, 1e-12)
 
 
-def _linear_leaves(base, arrays, grown: Round, fresh, rate: float, min_leaf: int) -> Round:
+def _linear_leaves(base, arrays, grown: Round, min_leaf: int) -> Round:
     """A least-squares plane per leaf, from summed normal equations; small leaves stay constant."""
     n_features, n_outputs = arrays["features"], arrays["costs"]
     nodes = grown.column.shape[1]
     p = n_features + 1
-    trees = list(fresh)
     used = np.zeros((n_outputs, nodes), dtype=bool)
     slots = np.zeros((n_outputs, nodes), dtype=np.int64)
     # leaves that can be reached: the root, and children of split nodes, that do not split
@@ -307,7 +308,7 @@ def _linear_leaves(base, arrays, grown: Round, fresh, rate: float, min_leaf: int
     n_slots = int(used.sum())
 
     def equations(data):
-        x, rest = _residuals(data, trees, rate)
+        x, rest = data["features"], data["costs"]
         wide = np.hstack([x, np.ones((len(x), 1))])
         at = grown.positions(x)
         products = (wide[:, :, None] * wide[:, None, :]).reshape(len(x), p * p)

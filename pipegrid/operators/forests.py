@@ -16,6 +16,9 @@ from pipegrid.frame import ARRAY, Features
 from pipegrid.session import held
 
 MAX_BINS = 255
+FOREST_BINS = 64  # averaging over trees makes up for coarser thresholds
+NODE_MEMORY_MB = 1024  # fewer passes per level
+ROWS_PER_PARTITION = 50_000
 DEEP = 20  # practical depth for "unlimited"; the library allows at most 30
 
 
@@ -30,8 +33,15 @@ class VectorModel:
         return done.select(*features.keys(), F.col("prediction").cast("int").alias("y_pred"))
 
 
+def right_sized(df: DataFrame) -> DataFrame:
+    """Fewer partitions for small data: each one costs a merge of all node statistics."""
+    with held(df) as rows:
+        needed = -(-rows.count() // ROWS_PER_PARTITION)
+        return df.coalesce(max(1, needed)) if needed < rows.rdd.getNumPartitions() else df
+
+
 def _fit(learner, train: Features) -> VectorModel:
-    with held(train.with_vector()) as rows:
+    with held(right_sized(train.with_vector())) as rows:
         return VectorModel(learner.fit(rows))
 
 
@@ -65,7 +75,8 @@ def fit_random_forest(train: Features, seed: int = 0, n_trees: int = 100, depth:
         impurity="gini",
         numTrees=n_trees,
         maxDepth=depth,
-        maxBins=MAX_BINS,
+        maxBins=FOREST_BINS,
+        maxMemoryInMB=NODE_MEMORY_MB,
         featureSubsetStrategy=forest_columns(train.dim),
         bootstrap=True,
         seed=seed,
@@ -108,7 +119,7 @@ def predict_by_forests(
     seed: int = 0,
     n_trees: int = 100,
     depth: int = 10,
-    parallel: int = 4,
+    parallel: int = 8,
 ) -> DataFrame:
     """One regression forest per output on the training rows; predictions for the test rows.
 
@@ -126,13 +137,13 @@ def predict_by_forests(
             predictionCol=f"p{e}",
             numTrees=n_trees,
             maxDepth=depth,
+            maxMemoryInMB=NODE_MEMORY_MB,
             featureSubsetStrategy="all",
             seed=seed,
         )
         return learner.fit(rows)
 
-    with held(train) as rows:
-        rows.count()
+    with held(right_sized(train)) as rows:
         with ThreadPoolExecutor(parallel) as pool:
             models = list(pool.map(inheritable_thread_target(rows.sparkSession)(fit_one), range(n_outputs)))
     made = instances.filter(F.col("split") == "test").withColumn("vector", array_to_vector("features"))

@@ -239,3 +239,64 @@ def h12(spark, sf):
     return scores.select(
         "config", F.lit("LinearRegressionModel").alias("regressor"), r6("regret", "regret"), r6("mse", "mse")
     )
+
+
+# ------------------------------------------------------------------ other cost predictors
+
+
+def customer_instances(spark, sf):
+    """One grid problem per customer, all with the same parameters."""
+    rows = fx.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("instance_id"),
+        F.lit(4).alias("degree"),
+        F.lit(0.5).alias("noise"),
+        F.lit(1).alias("seed"),
+        F.lit("deg-4-0.5-1").alias("config"),
+    )
+    return generate_costs(holdout_fraction(rows, 0.33, 1, "instance_id"))
+
+
+def decided(predicted):
+    """Predicted costs, the decision they lead to, and what it really costs, per test row."""
+    test = predicted.filter(F.col("split") == "test")
+    solved = paths.with_solution(test, "predicted_costs", "predicted_sol", "predicted_obj")
+    best = paths.with_solution(solved)
+    return best.select(
+        *KEYS,
+        round_array("predicted_costs").alias("predicted_costs"),
+        "predicted_sol",
+        r6(paths.dot(F.col("predicted_sol"), F.col("costs")), "real_cost"),
+        r6("obj", "best_cost"),
+    )
+
+
+@query("h3_forest_regression")
+def h3(spark, sf):
+    from pipegrid.operators.forests import predict_by_forests
+
+    return decided(predict_by_forests(customer_instances(spark, sf), E))
+
+
+@query("h4_boosted_trees")
+def h4(spark, sf):
+    from pipegrid.operators.boosting import fit_boosted_trees
+
+    data = customer_instances(spark, sf)
+    return decided(fit_boosted_trees(data, 5, E).predict(data, 5))
+
+
+@query("h5_boosted_linear_leaves")
+def h5(spark, sf):
+    from pipegrid.operators.boosting import fit_boosted_trees
+
+    data = customer_instances(spark, sf)
+    model = fit_boosted_trees(data, 5, E, rate=0.1, depth=5, min_leaf=20, ridge=0.0, linear_leaves=True)
+    return decided(model.predict(data, 5))
+
+
+@query("h6_spo_plus")
+def h6(spark, sf):
+    from pipegrid.operators.spo import fit_spo_plus
+
+    data = customer_instances(spark, sf)
+    return decided(fit_spo_plus(data).predict(data))

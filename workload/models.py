@@ -288,3 +288,100 @@ model_rows("g13_sgd_logistic", linear.fit_logistic)
 model_rows("g14_passive_aggressive", linear.fit_passive_aggressive)
 model_rows("g15_kernel_svc", landmark.fit_kernel_svm)
 model_rows("g16_mlp", mlp.fit_mlp)
+
+
+# ------------------------------------------------------------------ three classes, predicted on the training rows
+
+
+def three_class(spark, sf):
+    x = fx.split_embeddings(spark, sf)
+    df = x.df.drop("label").join(
+        fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), (F.col("label") % 3).alias("label")),
+        "row_id",
+    )
+    from pipegrid.frame import from_columns
+
+    return from_columns(df.withColumn("split", F.lit("train")), EMB_COLUMNS)
+
+
+# rows are distinct, so a deep tree reproduces every training label
+@query("g17_tree_in_sample", "select vec_id as row_id, cast(label % 3 as integer) as y_pred from embeddings")
+def g17(spark, sf):
+    x = three_class(spark, sf)
+    return forests.fit_predict_in_sample(scale.fit_min_max(x).apply(x), forests.fit_plain_tree)
+
+
+@query("g18_forest_in_sample")
+def g18(spark, sf):
+    x = three_class(spark, sf)
+    return forests.fit_predict_in_sample(scale.fit_robust_quartiles(x).apply(x), forests.fit_plain_forest)
+
+
+@query("g19_fit_predict_grid")
+def g19(spark, sf):
+    """Two scalers by two classifiers, each predicting its own training rows."""
+    x = three_class(spark, sf)
+    out = None
+    for scaler, fit_scaler in (("min_max", scale.fit_min_max), ("robust", scale.fit_robust_quartiles)):
+        scaled = fit_scaler(x).apply(x)
+        for name, fit in (("tree", forests.fit_plain_tree), ("forest", forests.fit_plain_forest)):
+            done = forests.fit_predict_in_sample(scaled, fit)
+            done = done.select(F.lit(scaler).alias("scaler"), F.lit(name).alias("classifier"), "row_id", "y_pred")
+            out = done if out is None else out.unionByName(done)
+    return out
+
+
+# ------------------------------------------------------------------ the grid
+
+GRID_NAMES = [
+    "SKLSimpleImpute",
+    "SKLStandardScaler",
+    "SKLMinMaxScaler",
+    "SKLSelectPercentile",
+    "SKLPCA",
+    "SKLGaussianNaiveBayes",
+    "SKLBernoulliNB",
+    "SKLLinearDiscriminantAnalysis",
+    "SKLDecisionTree",
+]
+
+
+def run_document_grid(spark, sf, reuse=True):
+    from pipegrid.frame import from_columns
+    from pipegrid.operators.split import two_phases
+    from pipegrid.plans import components, grid, space
+
+    both = two_phases(fx.document_features(spark, sf), fx.SEED)
+    data = from_columns(both.filter(F.col("test_split") == "train").drop("test_split"), DOC_COLUMNS)
+    pipelines = space.enumerate_space(components.registry_table(spark, names=GRID_NAMES))
+    allowed = space.drop_forbidden(pipelines, space.forbidden_table(spark))
+    settings = grid.GridSettings("documents", workers=4, reuse=reuse)
+    refit = from_columns(both.drop("split").withColumnRenamed("test_split", "split"), DOC_COLUMNS)
+    return grid.run_grid(data, allowed, settings), refit, settings
+
+
+RESULT = [
+    "pipeline_id",
+    "imputer",
+    "scaler",
+    "feature_preprocessor",
+    "classifier",
+    "status",
+    "train_accuracy",
+    "valid_accuracy",
+    "train_balanced_accuracy",
+    "valid_balanced_accuracy",
+]
+
+
+@query("d6_run_grid")
+def d6(spark, sf):
+    return run_document_grid(spark, sf)[0].select(*RESULT)
+
+
+@query("d7_refit_incumbent")
+def d7(spark, sf):
+    from pipegrid.plans import grid
+
+    log, refit, settings = run_document_grid(spark, sf)
+    return grid.run_incumbent(refit, log, settings).select(*RESULT)
