@@ -12,21 +12,31 @@ from pipegrid.functions.hashing import hash_bits
 READ_OFF = 20_000
 
 
-def holdout_fraction(df: DataFrame, fraction: float, seed: int, key: str = "row_id", out: str = "split") -> DataFrame:
-    """Exactly ceil(fraction * n) rows become test, chosen by smallest hash."""
-    n = df.count()
-    return _holdout(df, math.ceil(fraction * n), n, seed, key, out)
-
-
-def holdout_size(df: DataFrame, size: int, seed: int, key: str = "row_id", out: str = "split") -> DataFrame:
+def holdout_fraction(
+    df: DataFrame, fraction: float, seed: int, key: str = "row_id", out: str = "split", keys: DataFrame | None = None
+) -> DataFrame:
+    """Exactly ceil(fraction * n) rows become test, chosen by smallest hash.
+
+    ``keys`` may name a cheaper table with the same keys, to find the cut without
+    computing ``df``.
+    """
+    source = df if keys is None else keys
+    n = source.count()
+    return _holdout(df, source, math.ceil(fraction * n), n, seed, key, out)
+
+
+def holdout_size(
+    df: DataFrame, size: int, seed: int, key: str = "row_id", out: str = "split", keys: DataFrame | None = None
+) -> DataFrame:
     """Exactly ``size`` rows become test (all rows if there are fewer)."""
-    n = df.count()
-    return _holdout(df, min(size, n), n, seed, key, out)
+    source = df if keys is None else keys
+    n = source.count()
+    return _holdout(df, source, min(size, n), n, seed, key, out)
 
 
-def _holdout(df: DataFrame, size: int, n: int, seed: int, key: str, out: str) -> DataFrame:
+def _holdout(df: DataFrame, source: DataFrame, size: int, n: int, seed: int, key: str, out: str) -> DataFrame:
     # a narrow expression: no join, no sort, no shuffle of the rows themselves
-    return df.withColumn(out, F.when(_is_test(df, size, n, seed, key), "test").otherwise("train"))
+    return df.withColumn(out, F.when(_is_test(source, size, n, seed, key), "test").otherwise("train"))
 
 
 def _is_test(df: DataFrame, size: int, n: int, seed: int, key: str):

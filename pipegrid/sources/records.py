@@ -19,7 +19,7 @@ METRICS = ("accuracy", "balanced_accuracy")
 
 def read_record_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per file below ``path``."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return files.select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_name").alias("file_name"),

@@ -79,9 +79,9 @@ def test_failures_and_timeouts_are_recorded(spark, separable):
 
     _, allowed = counted(spark, registry=registry)
     rows = [r for r in allowed.collect() if r["scaler"] is None]
-    log = grid.run_grid(separable, rows, grid.GridSettings("d", time_limit=15.0)).collect()
+    log = grid.run_grid(separable, rows, grid.GridSettings("d", time_limit=15.0), registry).collect()
     status = {(r["feature_preprocessor"], r["classifier"]): r["status"] for r in log}
-    assert status[("Broken", "SKLGaussianNaiveBayes")] == "failed" and status[(None, "Slow")] == "timeout"
+    assert status[("Broken", "SKLGaussianNaiveBayes")] == "failed" and status[(None, "Slow")] == "timeout", [r["error"] for r in log if r["classifier"] == "Slow"]
     assert status[("SKLSelectPercentile", "SKLBernoulliNB")] == "success"
     assert any("no luck" in (r["error"] or "") for r in log)
     summary = leaderboard.train_summary(spark.createDataFrame(log), ["dataset"]).first()

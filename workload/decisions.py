@@ -8,7 +8,7 @@ from pipegrid.operators import paths, regress
 from pipegrid.sources.synthetic import generate_costs, grid_edges
 from pipegrid.operators.split import holdout_fraction
 from workload import fixtures as fx
-from workload.registry import query, r6, s6
+from workload.registry import keep, query, r6, s6
 
 E = 40
 KEYS = ["config", "instance_id"]
@@ -30,7 +30,7 @@ def instances(spark, sf):
     )
     config = F.concat_ws("-", F.lit("deg"), F.col("degree"), F.col("noise"), F.col("seed"))
     split = holdout_fraction(rows.withColumn("config", config), 0.33, 1, "instance_id")
-    return generate_costs(split)
+    return keep(generate_costs(split))
 
 
 def _salted(prefix: str, key: str) -> str:
@@ -183,11 +183,11 @@ EVALUATED_CTE = (
 
 def evaluated_rows(spark, sf):
     """Test rows with predictions, their decisions and the optimum, joined by instance."""
-    data = linear_predictions(spark, sf).filter(F.col("split") == "test")
-    chosen = paths.with_solution(data, "predicted_costs", "predicted_sol", "predicted_obj").select(
+    predicted = linear_predictions(spark, sf).filter(F.col("split") == "test")
+    chosen = paths.with_solution(predicted, "predicted_costs", "predicted_sol", "predicted_obj").select(
         *KEYS, "predicted_costs", "predicted_sol"
     )
-    truth = instances(spark, sf).filter(F.col("split") == "test").select(*KEYS, "costs")
+    truth = predicted.select(*KEYS, "costs")
     optima = paths.with_solution(truth).select(*KEYS, "sol", "obj")
     return paths.evaluation_rows(chosen, truth, optima, KEYS)
 
@@ -253,7 +253,7 @@ def customer_instances(spark, sf):
         F.lit(1).alias("seed"),
         F.lit("deg-4-0.5-1").alias("config"),
     )
-    return generate_costs(holdout_fraction(rows, 0.33, 1, "instance_id"))
+    return keep(generate_costs(holdout_fraction(rows, 0.33, 1, "instance_id")))
 
 
 def decided(predicted):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pipegrid.frame import Features, from_columns
 from pipegrid.operators.split import holdout_fraction
+from workload.registry import keep
 
 SEED = 123
 
@@ -132,7 +133,9 @@ ORDERS_FILLED_CTE = (
 
 
 def split_orders(spark: SparkSession, sf_dir: str) -> Features:
-    return from_columns(holdout_fraction(order_features(spark, sf_dir), 0.33, SEED), ORDER_COLUMNS)
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"))
+    rows = holdout_fraction(order_features(spark, sf_dir), 0.33, SEED, keys=keys)
+    return from_columns(keep(rows), ORDER_COLUMNS)
 
 
 def filled_orders(spark: SparkSession, sf_dir: str) -> Features:
@@ -146,17 +149,17 @@ def filled_orders(spark: SparkSession, sf_dir: str) -> Features:
 
 
 def document_features(spark: SparkSession, sf_dir: str, target: str = "quality") -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(target).cast("int").alias("label"))
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("row_id"), F.col(target).cast("int").alias("label")
+    )
     words = F.filter(F.split("text", "[ \\t\\n\\r]+"), lambda w: w != "")
     chars = F.greatest(F.length("text"), F.lit(1))
     n_words = F.greatest(F.size("words"), F.lit(1))
-    return (
-        docs.join(labels, "doc_id")
+    measured = (
+        table(spark, sf_dir, "documents")
         .withColumn("words", words)
         .select(
             F.col("doc_id").alias("row_id"),
-            "label",
             F.col("n_chars").cast("double").alias("n_chars"),
             F.size("words").cast("double").alias("n_words"),
             (F.length(F.concat_ws("", "words")) / n_words).alias("mean_word"),
@@ -165,6 +168,8 @@ def document_features(spark: SparkSession, sf_dir: str, target: str = "quality")
             (F.size(F.array_distinct("words")) / n_words).alias("distinct_share"),
         )
     )
+    # the texts shrink to six numbers before the join, so no text is shuffled
+    return measured.join(labels, "row_id").select("row_id", "label", *DOC_COLUMNS)
 
 
 DOCS_CTE = f"""
@@ -183,7 +188,11 @@ data as ({split_sql('raw')})"""
 
 
 def split_documents(spark: SparkSession, sf_dir: str) -> Features:
-    return from_columns(holdout_fraction(document_features(spark, sf_dir), 0.33, SEED), DOC_COLUMNS)
+    keys = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id")).join(
+        table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id")), "row_id"
+    )
+    rows = holdout_fraction(document_features(spark, sf_dir), 0.33, SEED, keys=keys)
+    return from_columns(keep(rows), DOC_COLUMNS)
 
 
 # ---------------------------------------------------------------- embeddings
@@ -206,7 +215,8 @@ EMB_CTE = (
 
 
 def split_embeddings(spark: SparkSession, sf_dir: str) -> Features:
-    return from_columns(holdout_fraction(embedding_features(spark, sf_dir), 0.33, SEED), EMB_COLUMNS)
+    rows = holdout_fraction(embedding_features(spark, sf_dir), 0.33, SEED)
+    return from_columns(keep(rows), EMB_COLUMNS)
 
 
 # ---------------------------------------------------------------- run log
