@@ -55,6 +55,19 @@ def block_score(fn: Callable[[np.ndarray], np.ndarray], array: Column, dim: int)
     return run(array)
 
 
+ONE_LEVEL_CORES = 64
+
+
+def merge_groups(df: DataFrame) -> int:
+    """How many vectors should reach the driver: all of them on a few cores, else a root of the tasks.
+
+    Asked from the cluster size, because asking ``df`` for its partitions would run its
+    shuffles a second time.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return 1 if cores <= ONE_LEVEL_CORES else math.ceil(math.sqrt(8 * cores))
+
+
 def partition_fold(
     df: DataFrame,
     arrays: dict[str, int],
@@ -86,9 +99,9 @@ def partition_fold(
             yield pa.RecordBatch.from_arrays([from_block(finish(state)[None, :])], names=["v"])
 
     parts = df.select(*arrays, *scalars).mapInArrow(per_partition, "v array<double>")
-    n_parts = df.rdd.getNumPartitions()
-    if n_parts > 64:
-        parts = _merge_groups(parts, length, merge, neutral, math.ceil(math.sqrt(n_parts)))
+    groups = merge_groups(df)
+    if groups > 1:
+        parts = _merge_groups(parts, length, merge, neutral, groups)
     total = np.full(length, neutral)
     for chunk in parts.toArrow().column("v").chunks:
         for row in as_block(chunk, length):

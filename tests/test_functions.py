@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pipegrid.functions import ordered, quantiles
+from pipegrid.functions import blocks, ordered, quantiles
 from pipegrid.functions.blocks import partial_sums
 from pipegrid.functions.hashing import hash_normal, hash_uniform, local_normal, local_uniform
 from pipegrid.operators.split import _kth_smallest, holdout_fraction, holdout_size
@@ -61,9 +61,10 @@ def test_running_sum_across_buckets(spark):
     assert all(r["cum"] == r["o"] + 1 for r in rows) and len(rows) == 1000
 
 
-def test_partial_sums_in_one_and_two_levels(spark):
+def test_partial_sums_in_one_and_two_levels(spark, monkeypatch):
     df = spark.range(1000).select(F.array(F.col("id").cast("double"), F.lit(1.0)).alias("x"))
-    for parts in (3, 80):
+    for parts, cores in ((3, 64), (80, 2)):
+        monkeypatch.setattr(blocks, "ONE_LEVEL_CORES", cores)
         total = partial_sums(df.repartition(parts), {"x": 2}, [], lambda d: d["x"].sum(axis=0), 2)
         assert total.tolist() == [499500.0, 1000.0]
         low = partial_sums(df.repartition(parts), {"x": 2}, [], lambda d: d["x"].min(axis=0), 2, "min")

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pipegrid.functions import blocks
 from pipegrid.operators import paths, regress
 from pipegrid.operators.boosting import fit_boosted_trees
 from pipegrid.operators.spo import fit_spo_plus
@@ -93,7 +94,8 @@ def test_linear_regression_is_exact_on_linear_costs(instances):
     assert all(r["regret"] > -1e-12 for r in scores.values())
 
 
-def test_linear_regression_equals_numpy(instances):
+def test_linear_regression_equals_numpy(instances, monkeypatch):
+    monkeypatch.setattr(blocks, "ONE_LEVEL_CORES", 2)  # also sums in two levels
     config = instances.first()["config"]
     rows = instances.filter((F.col("config") == config) & (F.col("split") == "train")).collect()
     x = np.hstack([np.array([r["features"] for r in rows]), np.ones((len(rows), 1))])

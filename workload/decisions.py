@@ -22,7 +22,7 @@ def instances(spark, sf):
         array = F.array(*[F.lit(v) for v in values])
         return F.element_at(array, (F.pmod(F.floor(key / divisor), F.lit(len(values))) + 1).cast("int"))
 
-    rows = fx.table(spark, sf, "orders").select(
+    rows = fx.spread(fx.table(spark, sf, "orders").select("o_orderkey")).select(
         key.alias("instance_id"),
         pick([1, 2, 4, 6], 1).alias("degree"),
         pick([0.0, 0.5], 4).alias("noise"),
@@ -246,7 +246,7 @@ def h12(spark, sf):
 
 def customer_instances(spark, sf):
     """One grid problem per customer, all with the same parameters."""
-    rows = fx.table(spark, sf, "customer").select(
+    rows = fx.spread(fx.table(spark, sf, "customer").select("c_custkey")).select(
         F.col("c_custkey").alias("instance_id"),
         F.lit(4).alias("degree"),
         F.lit(0.5).alias("noise"),

@@ -63,6 +63,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of a small file uses one core; give costly row-wise work all of them.
+
+    Large inputs have more partitions than that and stay as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 # ---------------------------------------------------------------- order features
 
 
@@ -156,7 +165,7 @@ def document_features(spark: SparkSession, sf_dir: str, target: str = "quality")
     chars = F.greatest(F.length("text"), F.lit(1))
     n_words = F.greatest(F.size("words"), F.lit(1))
     measured = (
-        table(spark, sf_dir, "documents")
+        spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
         .withColumn("words", words)
         .select(
             F.col("doc_id").alias("row_id"),
