@@ -26,7 +26,7 @@ from pipegrid.functions.hashing import hash_bits
 from pipegrid.session import held
 
 BROADCAST_DOUBLES = 8_000_000
-PIVOTS = 256
+MAX_PIVOTS = 4096
 BLOCK_ROWS = 20_000
 QUERY_ROWS = 20_000
 
@@ -67,7 +67,7 @@ class NearestNeighbour:
         dim, block_rows, query_rows = self.dim, self.block_rows, self.query_rows
         pivot_rows = (
             self.points.orderBy(hash_bits(f"pivot:{self.seed}:", F.col("point_id")), "point_id")
-            .limit(PIVOTS)
+            .limit(min(MAX_PIVOTS, max(16, math.isqrt(self.n_points))))
             .collect()
         )
         pivots = np.array([r[ARRAY] for r in pivot_rows])
@@ -76,7 +76,7 @@ class NearestNeighbour:
         def assign(values: pa.Array) -> pa.Array:
             at, away = nearest_positions(as_block(values, dim), pivots)
             return pa.StructArray.from_arrays(
-                [pa.array(at.astype(np.int32)), pa.array(away)], names=["cell", "away"]
+                [pa.array(at.astype(np.int32)), pa.array(np.sqrt(away))], names=["cell", "away"]
             )
 
         placed = self.points.withColumn("__a", assign(ARRAY)).select(
@@ -95,14 +95,14 @@ class NearestNeighbour:
                 blocks[row["cell"]] = math.ceil(row["n"] / block_rows)
             load = {r["cell"]: math.ceil(r["count"] / query_rows) for r in queries.groupBy("cell").count().collect()}
             points = self._blocks(placed, blocks)
-            own = self._search(queries, points, blocks, load, None)
+            own = self._search(queries, points, blocks, load)
             # upper bound from the own cell, then only cells that can beat or equal it
             bounded = queries.join(own.select("row_id", "best"), "row_id")
             rest = bounded.withColumn("cell", F.explode(_cells_within(pivots, radius, dim)(ARRAY, "best", "cell")))
             load_rest = {
                 r["cell"]: math.ceil(r["count"] / query_rows) for r in rest.groupBy("cell").count().collect()
             }
-            other = self._search(rest, points, blocks, load_rest, "best")
+            other = self._search(rest, points, blocks, load_rest)
             merged = own.select("row_id", "best", "point_id", "y_pred").unionByName(
                 other.select("row_id", "best", "point_id", "y_pred")
             )
@@ -115,21 +115,20 @@ class NearestNeighbour:
         per_cell = F.lit(blocks.tolist())[F.col("cell")]
         return placed.withColumn("block", F.pmod(hash_bits("block:", F.col("point_id")), per_cell).cast("int"))
 
-    def _search(self, queries, points, blocks, load, bound) -> DataFrame:
+    def _search(self, queries, points, blocks, load) -> DataFrame:
         """Best point per query and block; both sides are cut so that a group is bounded."""
         dim = self.dim
-        spark = queries.sparkSession
-        plan = [
-            (c, b, q)
-            for c, chunks in load.items()
-            for b in range(int(blocks[c]))
-            for q in range(chunks)
-        ]
-        shares = F.broadcast(spark.createDataFrame(plan, "cell int, block int, chunk int"))
-        chunks = F.element_at(F.create_map(*[F.lit(v) for kv in (load or {-1: 1}).items() for v in kv]), F.col("cell"))
-        chunked = queries.withColumn("chunk", F.pmod(hash_bits("chunk:", F.col("row_id")), chunks).cast("int"))
-        left = chunked.join(shares, ["cell", "chunk"]).select("cell", "block", "chunk", "row_id", ARRAY)
-        right = points.join(shares, ["cell", "block"]).select("cell", "block", "chunk", "point_id", "label", ARRAY)
+        chunks = np.zeros(len(blocks), dtype=int)
+        for cell, count in load.items():
+            chunks[cell] = count
+        n_blocks, n_chunks = F.lit(blocks.tolist())[F.col("cell")], F.lit(chunks.tolist())[F.col("cell")]
+        # every query chunk meets every block of its cell: each side is repeated in place
+        chunked = queries.withColumn("chunk", F.pmod(hash_bits("chunk:", F.col("row_id")), n_chunks).cast("int"))
+        left = chunked.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks.cast("int") - 1)))
+        left = left.select("cell", "block", "chunk", "row_id", ARRAY)
+        asked = points.filter(n_chunks > 0)
+        right = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), n_chunks.cast("int") - 1)))
+        right = right.select("cell", "block", "chunk", "point_id", "label", ARRAY)
 
         def search(rows: pa.Table, known: pa.Table) -> pa.Table:
             if rows.num_rows == 0 or known.num_rows == 0:
@@ -164,7 +163,10 @@ class NearestNeighbour:
 
 
 def nearest_positions(rows: np.ndarray, known: np.ndarray, budget: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the nearest known row (lowest index on ties) and its distance."""
+    """Index of the nearest known row (lowest index on ties) and its squared distance.
+
+    Squares are compared, because a root can make two different distances equal.
+    """
     at = np.empty(len(rows), dtype=np.int64)
     away = np.empty(len(rows))
     step = max(1, budget // max(1, len(known)))
@@ -175,14 +177,18 @@ def nearest_positions(rows: np.ndarray, known: np.ndarray, budget: int = 4_000_0
         rough = squares - 2.0 * part @ known.T
         low = rough.min(axis=1, keepdims=True)
         size = (part * part).sum(axis=1, keepdims=True)
-        slack = 1e-9 * (size + squares.max()) + 1e-300
-        for i, j in zip(range(len(part)), rough <= low + slack):
-            near = np.where(j)[0]
+        close = rough <= low + 1e-9 * (size + squares.max()) + 1e-300
+        first = close.argmax(axis=1)
+        gap = known[first] - part
+        at[start : start + step] = first
+        away[start : start + step] = (gap * gap).sum(axis=1)
+        for i in np.where(close.sum(axis=1) > 1)[0]:
+            near = np.where(close[i])[0]
             gap = known[near] - part[i]
             exact = (gap * gap).sum(axis=1)
             k = int(exact.argmin())
             at[start + i] = near[k]
-            away[start + i] = math.sqrt(exact[k])
+            away[start + i] = exact[k]
     return at, away
 
 
@@ -190,7 +196,7 @@ def _cells_within(pivots: np.ndarray, radius: np.ndarray, dim: int):
     @F.arrow_udf("array<int>")
     def cells(values: pa.Array, best: pa.Array, own: pa.Array) -> pa.Array:
         x = as_block(values, dim)
-        bound, mine = best.to_numpy(), own.to_numpy()
+        bound, mine = np.sqrt(best.to_numpy()), own.to_numpy()
         gap = np.sqrt(np.maximum(((x[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2), 0.0))
         reach = (gap - radius[None, :] <= bound[:, None] * (1 + 1e-9) + 1e-12) & (radius[None, :] >= 0)
         reach[np.arange(len(x)), mine] = False

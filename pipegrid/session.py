@@ -50,12 +50,26 @@ def hold(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def is_view_of_cache(df: DataFrame) -> bool:
+    """Whether ``df`` only filters and projects something cached, so that caching it again gains nothing."""
+    nodes = [df._jdf.queryExecution().optimizedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "InMemoryRelation":
+            return True
+        if node.nodeName() not in ("Project", "Filter") or node.children().size() != 1:
+            return False
+        nodes.append(node.children().head())
+    return False
+
+
 class held:
-    """``with held(df) as cached:`` caches for the block, unless ``df`` already is cached."""
+    """``with held(df) as cached:`` caches for the block, unless that would only copy a cache."""
 
     def __init__(self, df: DataFrame):
         self.df = df
-        self.owner = not (df.storageLevel.useMemory or df.storageLevel.useDisk)
+        cached = df.storageLevel.useMemory or df.storageLevel.useDisk
+        self.owner = not cached and not is_view_of_cache(df)
 
     def __enter__(self) -> DataFrame:
         return hold(self.df) if self.owner else self.df

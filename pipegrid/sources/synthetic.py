@@ -11,6 +11,7 @@ from pipegrid.functions.hashing import hash_normal, hash_uniform, local_uniform
 
 N_FEATURES = 5
 GRID = (5, 5)
+MAX_SEEDS = 10_000  # the broadcast pattern table stays below about 20 MB
 
 
 def grid_edges(grid: tuple[int, int] = GRID) -> list[tuple[int, int]]:
@@ -42,7 +43,9 @@ def generate_costs(
     """
     n_edges = len(grid_edges(grid))
     spark = instances.sparkSession
-    seeds = [r["seed"] for r in instances.select("seed").distinct().collect()]
+    seeds = [r["seed"] for r in instances.select("seed").distinct().limit(MAX_SEEDS + 1).collect()]
+    if len(seeds) > MAX_SEEDS:
+        raise ValueError(f"more than {MAX_SEEDS} seeds: the seed belongs to a configuration, not to a row")
     patterns = spark.createDataFrame(
         [(s, cost_pattern(s, n_edges, n_features)) for s in seeds], "seed int, pattern array<array<double>>"
     )
