@@ -84,7 +84,8 @@ def test_failures_and_timeouts_are_recorded(spark, separable):
     assert status[("Broken", "SKLGaussianNaiveBayes")] == "failed" and status[(None, "Slow")] == "timeout", [r["error"] for r in log if r["classifier"] == "Slow"]
     assert status[("SKLSelectPercentile", "SKLBernoulliNB")] == "success"
     assert any("no luck" in (r["error"] or "") for r in log)
-    summary = leaderboard.train_summary(spark.createDataFrame(log), ["dataset"]).first()
+    logged = spark.createDataFrame(log, runlog.RUN_LOG_SCHEMA)
+    summary = leaderboard.train_summary(logged, ["dataset"]).first()
     assert summary["n_runs"] == len(rows) and summary["failed"] >= 2 and summary["timeout"] >= 1
 
 
