@@ -36,8 +36,6 @@ def test_query_equals_sql(spark, con, name):
     assert compare(got, con.execute(entry_point.oracle_sql()[name]).df()).startswith("ok")
 
 
-def test_geometric_mean_of_negative_savings_is_an_error(spark, con):
+def test_geometric_mean_of_negative_savings_is_an_error(spark):
     with pytest.raises(Exception, match="positive"):
         entry_point.queries()["i15_geometric_means"](spark, SMALL).collect()
-    with pytest.raises(duckdb.Error, match="logarithm"):
-        con.execute(entry_point.oracle_sql()["i15_geometric_means"]).fetchall()
