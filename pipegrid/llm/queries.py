@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pipegrid.llm import simhash
+from pipegrid.llm import simhash, spotsigs
 from pipegrid.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,8 @@ def query(name: str, sql: str | None = None):
 def op7(spark, sf_dir):
     found = simhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.hex_print().alias("fingerprint"), "component_id")
+
+
+@query("op2_spotsigs")
+def op2(spark, sf_dir):
+    return spotsigs.fingerprint_edits(read(spark, sf_dir, "documents"))
