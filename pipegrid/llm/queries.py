@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pipegrid.llm import simhash, spotsigs
+from pipegrid.llm import decontam, simhash, spotsigs
 from pipegrid.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,8 @@ def op7(spark, sf_dir):
 @query("op2_spotsigs")
 def op2(spark, sf_dir):
     return spotsigs.fingerprint_edits(read(spark, sf_dir, "documents"))
+
+
+@query("op1_decontamination")
+def op1(spark, sf_dir):
+    return decontam.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
