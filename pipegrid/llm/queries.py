@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pipegrid.llm import decontam, simhash, spotsigs
+from pipegrid.llm import decontam, mixing, simhash, spotsigs
 from pipegrid.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,8 @@ def op2(spark, sf_dir):
 @query("op1_decontamination")
 def op1(spark, sf_dir):
     return decontam.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op4_pfair_mixing")
+def op4(spark, sf_dir):
+    return mixing.schedule(read(spark, sf_dir, "documents"))
