@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pipegrid.llm import decontam, mixing, simhash, spotsigs
+from pipegrid.llm import decontam, langid, mixing, simhash, spotsigs
 from pipegrid.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,9 @@ def op1(spark, sf_dir):
 @query("op4_pfair_mixing")
 def op4(spark, sf_dir):
     return mixing.schedule(read(spark, sf_dir, "documents"))
+
+
+@query("op10_language_id")
+def op10(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
