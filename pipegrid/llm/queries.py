@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pipegrid.llm import decontam, langid, mixing, simhash, spotsigs
+from pipegrid.llm import decontam, htmltext, langid, mixing, simhash, spotsigs
 from pipegrid.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,8 @@ def op4(spark, sf_dir):
 def op10(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
+
+
+@query("op9_html_extraction")
+def op9(spark, sf_dir):
+    return htmltext.main_text(read(spark, sf_dir, "pages"))
