@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pipegrid.llm import decontam, htmltext, langid, mixing, simhash, spotsigs
+from pipegrid.llm import decontam, htmltext, langid, mixing, simhash, spotsigs, warc
 from pipegrid.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,9 @@ def op10(spark, sf_dir):
 @query("op9_html_extraction")
 def op9(spark, sf_dir):
     return htmltext.main_text(read(spark, sf_dir, "pages"))
+
+
+@query("op6_warc")
+def op6(spark, sf_dir):
+    found = warc.round_trip(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
