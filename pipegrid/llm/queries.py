@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pipegrid.llm import decontam, htmltext, langid, mixing, simhash, spotsigs, warc
+from pipegrid.llm import decontam, htmltext, langid, mixing, packing, simhash, spotsigs, warc
 from pipegrid.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,8 @@ def op9(spark, sf_dir):
 def op6(spark, sf_dir):
     found = warc.round_trip(read(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op8_token_packing")
+def op8(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"))
