@@ -183,7 +183,7 @@ def pack(docs: DataFrame, row: int = ROW, group_rows: int = GROUP_ROWS, vocabula
                     start += whole * row
                     rest = rest[whole * row :]
                 if len(rest):
-                    tails.append((doc_id, start, rest))
+                    tails.append((doc_id, start, rest.copy()))
                     waiting += len(rest)
                 if waiting >= group_rows * row:
                     yield emit(packed())
