@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pipegrid.llm import decontam, htmltext, langid, mixing, packing, simhash, spotsigs, warc
+from pipegrid.llm import decontam, htmltext, langid, mixing, packing, simhash, spotsigs, toxicity, warc
 from pipegrid.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,9 @@ def op6(spark, sf_dir):
 @query("op8_token_packing")
 def op8(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"))
+
+
+@query("op3_toxicity")
+def op3(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
