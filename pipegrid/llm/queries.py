@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pipegrid.llm import decontam, htmltext, langid, mixing, packing, simhash, spotsigs, toxicity, warc
+from pipegrid.llm import chaining, decontam, htmltext, langid, mixing, packing, simhash, spotsigs, toxicity, warc
 from pipegrid.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op8(spark, sf_dir):
 def op3(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
+@query("op5_passages")
+def op5(spark, sf_dir):
+    return chaining.passages(read(spark, sf_dir, "documents"))
