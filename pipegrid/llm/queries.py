@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from pipegrid.llm import chaining, decontam, htmltext, langid, mixing, packing, simhash, spotsigs, toxicity, warc
 from pipegrid.llm.common import read
 
@@ -75,3 +76,8 @@ def op3(spark, sf_dir):
 @query("op5_passages")
 def op5(spark, sf_dir):
     return chaining.passages(read(spark, sf_dir, "documents"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
