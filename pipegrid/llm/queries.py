@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from pipegrid.llm import chaining, decontam, htmltext, langid, mixing, packing, simhash, spotsigs, toxicity, warc
+from pipegrid.llm import chaining, decontam, htmltext, langid, mixing, packing, simhash, spotsigs, sql, toxicity, warc
 from pipegrid.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,7 +40,7 @@ def op1(spark, sf_dir):
     return decontam.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-@query("op4_pfair_mixing")
+@query("op4_pfair_mixing", sql.MIXING)
 def op4(spark, sf_dir):
     return mixing.schedule(read(spark, sf_dir, "documents"))
 
@@ -56,7 +56,7 @@ def op9(spark, sf_dir):
     return htmltext.main_text(read(spark, sf_dir, "pages"))
 
 
-@query("op6_warc")
+@query("op6_warc", sql.WARC)
 def op6(spark, sf_dir):
     found = warc.round_trip(read(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
