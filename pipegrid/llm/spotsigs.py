@@ -107,7 +107,7 @@ def _in_order(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     facts = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("doc_id").alias("n"), F.count("*").alias("rows")).first()
     place, first, last = F.lit(None).cast("long"), 0, 0
     if facts.n:
-        width = max(1, (facts.hi - facts.lo + 1) * BUCKET // facts.n)
+        width = min(max(1, (facts.hi - facts.lo + 1) * BUCKET // facts.n), 1 << 62)
         last = (facts.hi - facts.lo) // width + 1
         place = F.floor((F.lit(facts.hi).cast("decimal(20,0)") - F.col("doc_id")) / F.lit(width)).cast("long")
     if facts.n < facts.rows:  # rows without id follow, in buckets by their hash
