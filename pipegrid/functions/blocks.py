@@ -2,8 +2,8 @@
 
 ``block_map`` turns an array column into another one, a batch at a time, without copying
 rows into Python objects. ``partial_sums`` gives the sum over all rows of a numpy
-statistic: one vector per partition, summed in two levels, so that the driver receives
-about sqrt(partitions) model-sized vectors.
+statistic: one vector per partition, summed in levels of at most ``FAN_IN`` vectors per
+task, until the driver receives no more than that many.
 """
 
 from __future__ import annotations
@@ -55,17 +55,29 @@ def block_score(fn: Callable[[np.ndarray], np.ndarray], array: Column, dim: int)
     return run(array)
 
 
-ONE_LEVEL_CORES = 64
+FAN_IN = 32  # vectors that one merge task holds, and that the driver gets at most
+UNKNOWN_BYTES = 1 << 60
 
 
-def merge_groups(df: DataFrame) -> int:
-    """How many vectors should reach the driver: all of them on a few cores, else a root of the tasks.
+def expected_tasks(df: DataFrame) -> int:
+    """An upper estimate of ``df``'s partitions, from its plan alone: no job runs for it.
 
-    Asked from the cluster size, because asking ``df`` for its partitions would run its
-    shuffles a second time.
+    Scans have as many tasks as the input has splits, shuffles as many as the session sets.
     """
+    conf = df.sparkSession.conf
+    split = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    scans = -(-min(size, UNKNOWN_BYTES) // split) if size < UNKNOWN_BYTES else 0
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return 1 if cores <= ONE_LEVEL_CORES else math.ceil(math.sqrt(8 * cores))
+    return max(scans, int(conf.get("spark.sql.shuffle.partitions")), cores)
+
+
+def merge_levels(df: DataFrame) -> int:
+    """How many levels of merging leave the driver at most ``FAN_IN`` vectors."""
+    tasks, levels = expected_tasks(df), 0
+    while tasks > FAN_IN:
+        tasks, levels = -(-tasks // FAN_IN), levels + 1
+    return levels
 
 
 def partition_fold(
@@ -99,9 +111,7 @@ def partition_fold(
             yield pa.RecordBatch.from_arrays([from_block(finish(state)[None, :])], names=["v"])
 
     parts = df.select(*arrays, *scalars).mapInArrow(per_partition, "v array<double>")
-    groups = merge_groups(df)
-    if groups > 1:
-        parts = _merge_groups(parts, length, merge, neutral, groups)
+    parts = _merged(parts, length, merge, neutral, merge_levels(df))
     total = np.full(length, neutral)
     for chunk in parts.toArrow().column("v").chunks:
         for row in as_block(chunk, length):
@@ -131,15 +141,19 @@ def partial_sums(
     )
 
 
-def _merge_groups(parts: DataFrame, length: int, merge, neutral: float, groups: int) -> DataFrame:
-    """First level of the sum: about sqrt(partitions) vectors per group."""
+def _merged(parts: DataFrame, length: int, merge, neutral: float, levels: int) -> DataFrame:
+    """``levels`` rounds of merging, each of ``FAN_IN`` neighbouring vectors at most into one."""
 
-    def merge_group(table: pa.Table) -> pa.Table:
+    def merge_group(key: tuple, table: pa.Table) -> pa.Table:
         total = np.full(length, neutral)
         for chunk in table.column("v").chunks:
             for row in as_block(chunk, length):
                 total = merge(total, row)
-        return pa.table({"v": from_block(total[None, :])})
-
-    keyed = parts.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(groups)))
-    return keyed.groupBy("g").applyInArrow(merge_group, "v array<double>")
+        return pa.table({"g": pa.array([key[0].as_py()], pa.int64()), "v": from_block(total[None, :])})
+
+    if levels:
+        parts = parts.withColumn("g", F.spark_partition_id().cast("bigint"))
+    for _ in range(levels):
+        keyed = parts.withColumn("g", F.floor(F.col("g") / FAN_IN))
+        parts = keyed.groupBy("g").applyInArrow(merge_group, "g bigint, v array<double>")
+    return parts.select("v")

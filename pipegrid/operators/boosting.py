@@ -191,7 +191,11 @@ def fit_boosted_trees(
     # the costs column holds what is left to explain; a lost block is recomputed from the
     # last checkpoint through at most CHECKPOINT_ROUNDS narrow steps
     residual = block_map(lambda c: c - start, F.col("costs"), n_outputs)
-    base = hold(_sized(train.select("features", residual.alias("costs"))))
+    whole = hold(train.select("features", residual.alias("costs")))
+    base = hold(_sized(whole))
+    base.count()
+    if base is not whole:
+        whole.unpersist()
     previous = None
     for r in range(rounds):
         grown = _grow_round(base, arrays, edges, bins, depth, min_leaf, ridge)
@@ -212,15 +216,14 @@ def fit_boosted_trees(
 ROWS_PER_PARTITION = 5_000  # below this, merging histograms costs more than building them
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """Partitions by row count: none of them sends a histogram for a handful of rows."""
-    with held(df) as rows:
-        needed = max(1, -(-rows.count() // ROWS_PER_PARTITION))
-        present = rows.rdd.getNumPartitions()
+def _sized(rows: DataFrame) -> DataFrame:
+    """Partitions of cached rows by their number: none of them sends a histogram for a handful of rows."""
+    needed = max(1, -(-rows.count() // ROWS_PER_PARTITION))
+    present = rows.rdd.getNumPartitions()
     if needed < present:
-        return df.coalesce(needed)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(min(needed, cores)) if present < min(needed, cores) else df
+        return rows.coalesce(needed)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(min(needed, cores)) if present < min(needed, cores) else rows
 
 
 def _explained(base: DataFrame, grown: Round, rate: float, n_features: int, n_outputs: int) -> DataFrame:

@@ -16,10 +16,9 @@ from pipegrid.frame import ARRAY, Features
 from pipegrid.session import held
 
 MAX_BINS = 255
-FOREST_BINS = 64  # averaging over trees makes up for coarser thresholds
 NODE_MEMORY_MB = 1024  # fewer passes per level
 ROWS_PER_PARTITION = 50_000
-DEEP = 20  # practical depth for "unlimited"; the library allows at most 30
+DEEP = 30  # for "unlimited": the most that the library allows
 
 
 @dataclass(frozen=True)
@@ -33,16 +32,15 @@ class VectorModel:
         return done.select(*features.keys(), F.col("prediction").cast("int").alias("y_pred"))
 
 
-def right_sized(df: DataFrame) -> DataFrame:
-    """Fewer partitions for small data: each one costs a merge of all node statistics."""
-    with held(df) as rows:
-        needed = -(-rows.count() // ROWS_PER_PARTITION)
-        return df.coalesce(max(1, needed)) if needed < rows.rdd.getNumPartitions() else df
+def right_sized(rows: DataFrame) -> DataFrame:
+    """Fewer partitions of cached rows for small data: each one costs a merge of all node statistics."""
+    needed = -(-rows.count() // ROWS_PER_PARTITION)
+    return rows.coalesce(max(1, needed)) if needed < rows.rdd.getNumPartitions() else rows
 
 
 def _fit(learner, train: Features) -> VectorModel:
-    with held(right_sized(train.with_vector())) as rows:
-        return VectorModel(learner.fit(rows))
+    with held(train.with_vector()) as rows:
+        return VectorModel(learner.fit(right_sized(rows)))
 
 
 def tree_depth(dim: int) -> int:
@@ -68,14 +66,16 @@ def fit_decision_tree(train: Features, seed: int = 0, depth: int | None = None)
     return _fit(learner, train)
 
 
-def fit_random_forest(train: Features, seed: int = 0, n_trees: int = 100, depth: int = DEEP) -> VectorModel:
+def fit_random_forest(
+    train: Features, seed: int = 0, n_trees: int = 100, depth: int = DEEP, bins: int = MAX_BINS
+) -> VectorModel:
     learner = RandomForestClassifier(
         featuresCol=ARRAY,
         labelCol="label",
         impurity="gini",
         numTrees=n_trees,
         maxDepth=depth,
-        maxBins=FOREST_BINS,
+        maxBins=bins,
         maxMemoryInMB=NODE_MEMORY_MB,
         featureSubsetStrategy=forest_columns(train.dim),
         bootstrap=True,
@@ -143,7 +143,8 @@ def predict_by_forests(
         )
         return learner.fit(rows)
 
-    with held(right_sized(train)) as rows:
+    with held(train) as cached:
+        rows = right_sized(cached)
         with ThreadPoolExecutor(parallel) as pool:
             models = list(pool.map(inheritable_thread_target(rows.sparkSession)(fit_one), range(n_outputs)))
     made = instances.filter(F.col("split") == "test").withColumn("vector", array_to_vector("features"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -85,6 +86,8 @@ def fit_squared_hinge(train: Features, seed: int = 0, c: float = 1.0, iterations
             if objective[best] >= 0.5 * w @ w + c * loss:
                 break
             w = trial[best]
+        else:
+            warnings.warn(f"squared hinge: not converged after {iterations} passes", stacklevel=2)
     return LinearModel(w)
 
 
@@ -124,6 +127,8 @@ def fit_l1_squared_hinge(train: Features, c: float = 1.0, iterations: int = 40,
             if objective[best] >= np.abs(w).sum() + c * loss:
                 break
             w = trial[best]
+        else:
+            warnings.warn(f"L1 squared hinge: not converged after {iterations} passes", stacklevel=2)
     return w
 
 
@@ -145,10 +150,10 @@ def shards(rows: DataFrame, seed: int) -> DataFrame:
     n = rows.count()
     order = hash_bits(f"shard:{seed}:", F.col("row_id"))
     count = max(MIN_SHARDS, -(-n // ROWS_PER_SHARD))
-    # range partitioning by the hash: the shard borders are fixed numbers, not samples
+    # one partition per shard, whose borders are fixed numbers of the hash
     shard = F.floor(order * F.lit(count) / F.lit(4294967296)).cast("int")
     spread = rows.withColumn("__shard", shard).withColumn("__order", order)
-    return spread.repartition(count, "__shard").sortWithinPartitions("__shard", "__order", "row_id")
+    return spread.repartitionById(count, F.col("__shard")).sortWithinPartitions("__shard", "__order", "row_id")
 
 
 def fit_passive_aggressive(
@@ -189,4 +194,6 @@ def fit_passive_aggressive(
                 stale += 1
                 if stale >= 5:
                     break
+        else:
+            warnings.warn(f"passive-aggressive: not settled after {epochs} epochs", stacklevel=2)
     return LinearModel(w if best_loss == np.inf else best)

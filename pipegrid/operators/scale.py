@@ -199,6 +199,13 @@ def yeo_johnson_likelihoods(train: Features, candidates: np.ndarray) -> np.ndarr
     return -n / 2.0 * np.log(variance) + (candidates - 1.0) * total[:, 2 * k : 2 * k + 1]
 
 
+def _argmax_of(train: Features, lambdas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place and value of each column's best candidate; one that overflows is never best."""
+    score = yeo_johnson_likelihoods(train, lambdas)
+    score = np.where(np.isfinite(score), score, -np.inf)
+    return score.argmax(axis=1), score.max(axis=1)
+
+
 def fit_power(
     train: Features,
     seed: int = 0,
@@ -207,12 +214,27 @@ def fit_power(
     candidates: int = 17,
     passes: int = 6,
 ) -> PowerMap:
-    """Exponent of maximum likelihood by repeated grids, all columns per pass; then standardise."""
+    """Exponent of maximum likelihood by repeated grids, all columns per pass; then standardise.
+
+    Where the best exponent is the first or last of the first grid, the grid moves on by twice its width, until it
+    holds a maximum or the likelihood no longer changes.
+    """
     lambdas = np.tile(np.linspace(low, high, candidates), (train.dim, 1))
+    at, known = _argmax_of(train, lambdas)
+    while ((at == 0) | (at == candidates - 1)).any():
+        side = np.where(at == 0, -1.0, np.where(at == candidates - 1, 1.0, 0.0))
+        width = (lambdas[:, -1] - lambdas[:, 0]) * np.where(side != 0, 2.0, 1.0)
+        start = np.where(side < 0, lambdas[:, 1] - width, np.where(side > 0, lambdas[:, -2], lambdas[:, 0]))
+        wider = start[:, None] + width[:, None] * np.linspace(0.0, 1.0, candidates)[None, :]
+        at_wider, moved = _argmax_of(train, wider)
+        gained = (side != 0) & (moved > known + 1e-9 * np.abs(known))
+        if not gained.any():
+            break
+        lambdas = np.where(gained[:, None], wider, lambdas)
+        at, known = np.where(gained, at_wider, candidates // 2), np.where(gained, moved, known)
     best = lambdas[:, 0]
     for _ in range(passes):
-        score = yeo_johnson_likelihoods(train, lambdas)
-        best = lambdas[np.arange(train.dim), score.argmax(axis=1)]
+        best = lambdas[np.arange(train.dim), _argmax_of(train, lambdas)[0]]
         step = lambdas[:, 1] - lambdas[:, 0]
         offsets = np.linspace(-1.0, 1.0, candidates)
         lambdas = best[:, None] + step[:, None] * offsets[None, :]

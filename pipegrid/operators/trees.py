@@ -38,32 +38,60 @@ class Forest:
         return at
 
 
-def _candidates(seed: int, level: int, n_trees: int, width: int, dim: int, count: int) -> np.ndarray:
-    """Distinct columns to try per (tree, node), a function of the seed only."""
-    draw = np.random.default_rng([seed, level, 7]).random((n_trees, width, dim))
-    return np.argsort(draw, axis=2)[:, :, :count]
+def _column_order(seed: int, level: int, n_trees: int, width: int, dim: int) -> np.ndarray:
+    """The order in which columns are tried per (tree, node), a function of the seed only."""
+    return np.argsort(np.random.default_rng([seed, level, 7]).random((n_trees, width, dim)), axis=2)
 
 
-def _node_ranges(rows: DataFrame, dim: int, forest: Forest, level: int, candidates: np.ndarray) -> np.ndarray:
-    """(trees, nodes, candidates, 2): minimum and negated maximum per node of the level."""
-    n_trees, width, count = candidates.shape
+def _node_ranges(rows: DataFrame, dim: int, forest: Forest, asked: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """(slots, columns, 2): minimum and negated maximum of each slot's columns.
+
+    ``asked`` (trees, nodes of the level) gives a node's slot, -1 for nodes nobody asks about.
+    """
+    n_trees, width = asked.shape
     base = width - 1
 
     def partial(data):
         x = data[ARRAY]
         at = forest.leaves(x) - base
-        out = np.full((n_trees, width, count, 2), np.inf)
+        out = np.full((*columns.shape, 2), np.inf)
         for t in range(n_trees):
-            mine = np.where(at[:, t] >= 0)[0]
-            node = at[mine, t]
-            values = x[mine[:, None], candidates[t][node]]
-            np.minimum.at(out[t, :, :, 0], node, values)
-            np.minimum.at(out[t, :, :, 1], node, -values)
+            slot = np.where(at[:, t] >= 0, asked[t][at[:, t]], -1)
+            mine = np.where(slot >= 0)[0]
+            values = x[mine[:, None], columns[slot[mine]]]
+            np.minimum.at(out[..., 0], slot[mine], values)
+            np.minimum.at(out[..., 1], slot[mine], -values)
         return out.reshape(-1)
 
-    return partial_sums(rows, {ARRAY: dim}, [], partial, n_trees * width * count * 2, "min").reshape(
-        n_trees, width, count, 2
-    )
+    return partial_sums(rows, {ARRAY: dim}, [], partial, columns.size * 2, "min").reshape(*columns.shape, 2)
+
+
+FIRST_LOOK = 8  # columns of a node whose ranges the first pass takes
+
+
+def _varying_columns(rows: DataFrame, dim: int, forest: Forest, order: np.ndarray, wanted: int):
+    """The first ``wanted`` columns of each node's order that vary in it, with their ranges.
+
+    (trees, nodes, wanted) columns, minima and maxima; a node with fewer such columns ends in constant ones. Most
+    nodes are settled by one pass; a second one looks at all other columns of the rest.
+    """
+    n_trees, width, _ = order.shape
+    count = min(dim, max(wanted, FIRST_LOOK))
+    everyone = np.arange(n_trees * width).reshape(n_trees, width)
+    flat = order.reshape(-1, dim)
+    found = np.zeros((len(flat), dim, 2))
+    found[:, :count] = _node_ranges(rows, dim, forest, everyone, flat[:, :count])
+    low, high = found[..., 0], -found[..., 1]
+    short = np.isfinite(low[:, 0]) & ((high > low)[:, :count].sum(axis=1) < wanted)
+    if count < dim and short.any():
+        asked = np.full(len(flat), -1)
+        asked[short] = np.arange(int(short.sum()))
+        rest = _node_ranges(rows, dim, forest, asked.reshape(n_trees, width), flat[short, count:])
+        low[short, count:], high[short, count:] = rest[..., 0], -rest[..., 1]
+    with np.errstate(invalid="ignore"):
+        first = np.argsort(~(high > low), axis=1, kind="stable")[:, :wanted]
+    take = lambda a: np.take_along_axis(a, first, axis=1).reshape(n_trees, width, -1)
+    return take(flat), take(low), take(high)
 
 
 def grow_random_trees(train: Features, seed: int, n_trees: int = 10, depth: int = 5) -> Forest:
@@ -75,20 +103,13 @@ def grow_random_trees(train: Features, seed: int, n_trees: int = 10, depth: int
     with held(train.with_array()) as rows:
         for level in range(depth):
             width = 2**level
-            tried = _candidates(seed, level, n_trees, width, dim, min(dim, 8))
-            ranges = _node_ranges(rows, dim, Forest(column.copy(), threshold.copy()), level, tried)
-            low, high = ranges[..., 0], -ranges[..., 1]
+            order = _column_order(seed, level, n_trees, width, dim)
+            forest = Forest(column.copy(), threshold.copy())
+            tried, low, high = (a[..., 0] for a in _varying_columns(rows, dim, forest, order, 1))
             share = np.random.default_rng([seed, level, 11]).random((n_trees, width))
-            for t in range(n_trees):
-                for node in range(width):
-                    varying = np.where(high[t, node] > low[t, node])[0]
-                    if len(varying) == 0:
-                        continue
-                    c = varying[0]
-                    column[t, width - 1 + node] = tried[t, node, c]
-                    threshold[t, width - 1 + node] = low[t, node, c] + share[t, node] * (
-                        high[t, node, c] - low[t, node, c]
-                    )
+            t, node = np.where(high > low)
+            column[t, width - 1 + node] = tried[t, node]
+            threshold[t, width - 1 + node] = low[t, node] + share[t, node] * (high[t, node] - low[t, node])
             if (column[:, width - 1 : 2 * width - 1] < 0).all():
                 break
     return Forest(column, threshold)
@@ -177,10 +198,9 @@ def grow_extra_trees(
     with held(train.with_array()) as rows:
         for level in range(depth):
             width = 2**level
-            tried = _candidates(seed, level, n_trees, width, dim, min(dim, tried_columns))
+            order = _column_order(seed, level, n_trees, width, dim)
             forest = Forest(column.copy(), threshold.copy())
-            ranges = _node_ranges(rows, dim, forest, level, tried)
-            low, high = ranges[..., 0], -ranges[..., 1]
+            tried, low, high = _varying_columns(rows, dim, forest, order, min(dim, tried_columns))
             share = np.random.default_rng([seed, level, 13]).random(low.shape)
             varies = high > low
             with np.errstate(invalid="ignore"):

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pipegrid.functions.hashing import hash_normal, hash_uniform, local_uniform
 
 N_FEATURES = 5
 GRID = (5, 5)
-MAX_SEEDS = 10_000  # the broadcast pattern table stays below about 20 MB
 
 
 def grid_edges(grid: tuple[int, int] = GRID) -> list[tuple[int, int]]:
@@ -32,6 +31,21 @@ def cost_pattern(seed: int, n_edges: int, n_features: int = N_FEATURES) -> list[
     ]
 
 
+def cost_patterns(seed: Column, n_edges: int, n_features: int = N_FEATURES) -> Column:
+    """:func:`cost_pattern` as a column, so that seeds never come to the driver."""
+    salt = F.concat(seed.cast("string"), F.lit(":"))
+
+    def row(e):
+        return F.array(
+            *[
+                (hash_uniform("B:", F.concat(e.cast("string"), F.lit(f":{j}")), salt) < 0.5).cast("double")
+                for j in range(n_features)
+            ]
+        )
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n_edges - 1)), row)
+
+
 def generate_costs(
     instances: DataFrame, n_features: int = N_FEATURES, grid: tuple[int, int] = GRID
 ) -> DataFrame:
@@ -42,18 +56,12 @@ def generate_costs(
     per seed, so its size is that of the configuration list.
     """
     n_edges = len(grid_edges(grid))
-    spark = instances.sparkSession
-    seeds = [r["seed"] for r in instances.select("seed").distinct().limit(MAX_SEEDS + 1).collect()]
-    if len(seeds) > MAX_SEEDS:
-        raise ValueError(f"more than {MAX_SEEDS} seeds: the seed belongs to a configuration, not to a row")
-    patterns = spark.createDataFrame(
-        [(s, cost_pattern(s, n_edges, n_features)) for s in seeds], "seed int, pattern array<array<double>>"
-    )
+    patterns = instances.select("seed").distinct().withColumn("pattern", cost_patterns(F.col("seed"), n_edges, n_features))
     key, salt = F.col("instance_id"), F.col("seed").cast("string")
     features = F.array(
         *[hash_normal(f"x{j}:", F.concat(F.lit(":"), key.cast("string")), salt) for j in range(n_features)]
     )
-    drawn = instances.withColumn("features", features).join(F.broadcast(patterns), "seed")
+    drawn = instances.withColumn("features", features).join(patterns, "seed")
 
     degree, width = F.col("degree"), F.col("noise")
 

@@ -63,8 +63,8 @@ def test_running_sum_across_buckets(spark):
 
 def test_partial_sums_in_one_and_two_levels(spark, monkeypatch):
     df = spark.range(1000).select(F.array(F.col("id").cast("double"), F.lit(1.0)).alias("x"))
-    for parts, cores in ((3, 64), (80, 2)):
-        monkeypatch.setattr(blocks, "ONE_LEVEL_CORES", cores)
+    for parts, fan_in in ((3, 64), (80, 2)):
+        monkeypatch.setattr(blocks, "FAN_IN", fan_in)
         total = partial_sums(df.repartition(parts), {"x": 2}, [], lambda d: d["x"].sum(axis=0), 2)
         assert total.tolist() == [499500.0, 1000.0]
         low = partial_sums(df.repartition(parts), {"x": 2}, [], lambda d: d["x"].min(axis=0), 2, "min")

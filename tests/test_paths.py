@@ -88,20 +88,22 @@ def evaluated(predicted):
 
 def test_linear_regression_is_exact_on_linear_costs(instances):
     models = regress.fit_linear(instances, "config", 5, 40)
-    scores = evaluated(regress.predict_linear(instances, "config", models))
+    scores = evaluated(regress.predict_linear(instances, "config", models, 5, 40))
     exact = next(r for c, r in scores.items() if "deg_1" in c and "noise_0.0" in c)
     assert exact["mse"] < 1e-20 and abs(exact["regret"]) < 1e-9
     assert all(r["regret"] > -1e-12 for r in scores.values())
 
 
 def test_linear_regression_equals_numpy(instances, monkeypatch):
-    monkeypatch.setattr(blocks, "ONE_LEVEL_CORES", 2)  # also sums in two levels
+    monkeypatch.setattr(blocks, "FAN_IN", 2)  # sums in several levels
+    assert blocks.merge_levels(instances) > 1
     config = instances.first()["config"]
     rows = instances.filter((F.col("config") == config) & (F.col("split") == "train")).collect()
     x = np.hstack([np.array([r["features"] for r in rows]), np.ones((len(rows), 1))])
     y = np.array([r["costs"] for r in rows])
     models = regress.fit_linear(instances.repartition(90), "config", 5, 40)
-    np.testing.assert_allclose(models[config], np.linalg.lstsq(x, y, rcond=None)[0], atol=1e-9)
+    got = np.array(models.filter(F.col("config") == config).first()["weights"]).reshape(6, 40)
+    np.testing.assert_allclose(got, np.linalg.lstsq(x, y, rcond=None)[0], atol=1e-9)
 
 
 def test_perfect_predictions_have_no_regret(instances):

@@ -132,7 +132,7 @@ def h7(spark, sf):
 
 def linear_predictions(spark, sf):
     data = instances(spark, sf)
-    return regress.predict_linear(data, "config", regress.fit_linear(data, "config", 5, E))
+    return regress.predict_linear(data, "config", regress.fit_linear(data, "config", 5, E), 5, E)
 
 
 def solve_sql(size: int) -> str:
