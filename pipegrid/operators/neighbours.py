@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 from pipegrid.frame import ARRAY, Features
 from pipegrid.functions.blocks import as_block
 from pipegrid.functions.hashing import hash_bits
-from pipegrid.session import held
+from pipegrid.session import cut_lineage, held
 
 BROADCAST_DOUBLES = 8_000_000
 MAX_PIVOTS = 4096
 BLOCK_ROWS = 20_000
 QUERY_ROWS = 20_000
+SLICE_DOUBLES = 4_000_000  # distances held at once in a worker
 
 
 @dataclass(frozen=True)
@@ -109,7 +110,8 @@ class NearestNeighbour:
             answer = merged.groupBy("row_id").agg(
                 F.min_by("y_pred", F.struct("best", "point_id")).alias("y_pred")
             )
-            return queries.select(*keys).join(answer, "row_id").select(*keys, "y_pred")
+            # the answer is written before the caches go, so that no search runs twice
+            return cut_lineage(queries.select(*keys).join(answer, "row_id").select(*keys, "y_pred"))
 
     def _blocks(self, placed: DataFrame, blocks: np.ndarray) -> DataFrame:
         per_cell = F.lit(blocks.tolist())[F.col("cell")]
@@ -170,14 +172,18 @@ def nearest_positions(rows: np.ndarray, known: np.ndarray, budget: int = 4_000_0
     at = np.empty(len(rows), dtype=np.int64)
     away = np.empty(len(rows))
     step = max(1, budget // max(1, len(known)))
-    squares = (known * known).sum(axis=1)
+    # around their centre the squares are small, and so is what the short list must allow for rounding
+    centre = known.mean(axis=0) if len(known) else 0.0
+    moved = known - centre
+    squares = (moved * moved).sum(axis=1)
     for start in range(0, len(rows), step):
         part = rows[start : start + step]
         # the expanded form only short-lists; the final distance is computed directly
-        rough = squares - 2.0 * part @ known.T
+        away_from = part - centre
+        rough = squares - 2.0 * away_from @ moved.T
         low = rough.min(axis=1, keepdims=True)
-        size = (part * part).sum(axis=1, keepdims=True)
-        close = rough <= low + 1e-9 * (size + squares.max()) + 1e-300
+        size = (away_from * away_from).sum(axis=1, keepdims=True)
+        close = rough <= low + 1e-13 * known.shape[1] * (size + squares.max()) + 1e-300
         first = close.argmax(axis=1)
         gap = known[first] - part
         at[start : start + step] = first
@@ -197,10 +203,19 @@ def _cells_within(pivots: np.ndarray, radius: np.ndarray, dim: int):
     def cells(values: pa.Array, best: pa.Array, own: pa.Array) -> pa.Array:
         x = as_block(values, dim)
         bound, mine = np.sqrt(best.to_numpy()), own.to_numpy()
-        gap = np.sqrt(np.maximum(((x[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2), 0.0))
-        reach = (gap - radius[None, :] <= bound[:, None] * (1 + 1e-9) + 1e-12) & (radius[None, :] >= 0)
-        reach[np.arange(len(x)), mine] = False
-        return pa.array([np.where(r)[0].astype(np.int32) for r in reach], pa.list_(pa.int32()))
+        found = []
+        step = max(1, SLICE_DOUBLES // len(pivots))
+        squares = (pivots * pivots).sum(axis=1)
+        for start in range(0, len(x), step):
+            part = x[start : start + step]
+            size = (part * part).sum(axis=1, keepdims=True)
+            gap = np.sqrt(np.maximum(size + squares - 2.0 * part @ pivots.T, 0.0))
+            # the expanded form is off by rounding: a cell too many costs time, one too few the answer
+            slack = np.sqrt(1e-12 * (size + squares.max())) + 1e-12
+            reach = (gap - radius <= bound[start : start + step, None] * (1 + 1e-9) + slack) & (radius >= 0)
+            reach[np.arange(len(part)), mine[start : start + step]] = False
+            found += [np.where(r)[0].astype(np.int32) for r in reach]
+        return pa.array(found, pa.list_(pa.int32()))
 
     return cells
 

@@ -213,14 +213,15 @@ def fit_power(
     high: float = 4.0,
     candidates: int = 17,
     passes: int = 6,
+    widen: bool = True,
 ) -> PowerMap:
     """Exponent of maximum likelihood by repeated grids, all columns per pass; then standardise.
 
     Where the best exponent is the first or last of the first grid, the grid moves on by twice its width, until it
-    holds a maximum or the likelihood no longer changes.
+    holds a maximum or the likelihood no longer changes; without ``widen`` the exponent is one of the given range.
     """
     lambdas = np.tile(np.linspace(low, high, candidates), (train.dim, 1))
-    at, known = _argmax_of(train, lambdas)
+    at, known = _argmax_of(train, lambdas) if widen else (np.full(train.dim, 1), None)
     while ((at == 0) | (at == candidates - 1)).any():
         side = np.where(at == 0, -1.0, np.where(at == candidates - 1, 1.0, 0.0))
         width = (lambdas[:, -1] - lambdas[:, 0]) * np.where(side != 0, 2.0, 1.0)

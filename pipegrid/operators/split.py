@@ -75,10 +75,16 @@ def predefined_split(df: DataFrame, folds: DataFrame, fold: int = 0, key: str =
     return df.join(side, key)
 
 
-def two_phases(df: DataFrame, seed: int, key: str = "row_id", fraction: float = 0.33) -> DataFrame:
-    """Add ``test_split`` (train/test) and, inside its train rows, ``split`` (train/test; else NULL)."""
-    outer = holdout_fraction(df, fraction, seed, key, "test_split")
-    inside = outer.filter(F.col("test_split") == "train")
+def two_phases(
+    df: DataFrame, seed: int, key: str = "row_id", fraction: float = 0.33, keys: DataFrame | None = None
+) -> DataFrame:
+    """Add ``test_split`` (train/test) and, inside its train rows, ``split`` (train/test; else NULL).
+
+    ``keys`` as in :func:`holdout_fraction`.
+    """
+    outer = holdout_fraction(df, fraction, seed, key, "test_split", keys)
+    told = outer if keys is None else holdout_fraction(keys, fraction, seed, key, "test_split")
+    inside = told.filter(F.col("test_split") == "train")
     n = inside.count()
     is_valid = _is_test(inside, math.ceil(fraction * n), n, seed + 1, key)
     side = F.when(is_valid, "test").otherwise("train")

@@ -18,12 +18,14 @@ from dataclasses import dataclass, replace
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from pipegrid.frame import Features
 from pipegrid.operators.metrics import scores
 from pipegrid.plans.components import BUILT_IN, Component
-from pipegrid.plans.runlog import RUN_LOG_SCHEMA
+from pipegrid.plans.runlog import Journal
 from pipegrid.session import hold
+from pipegrid.sources.stages import StageStore
 
 TRAIN_LIMIT = 100.0  # seconds per stage in the training phase; no limit in the test phase
 
@@ -40,6 +42,8 @@ class GridSettings:
     workers: int = 1
     time_limit: float | None = TRAIN_LIMIT
     reuse: bool = True
+    log_path: str | None = None  # where run and stage records are written as they come, and found on a rerun
+    store_path: str | None = None  # where stage outputs are kept for later runs
 
 
 @contextmanager
@@ -81,7 +85,7 @@ class _Stage:
     error: Exception | None = None
     detail: str = ""
     cached: DataFrame | None = None
-    seconds: float = 0.0  # including the stages above
+    chain: tuple[str, ...] = ()
 
     def release(self) -> None:
         if self.cached is not None:
@@ -94,18 +98,24 @@ def run_grid(
     settings: GridSettings,
     registry: dict[str, Component] = BUILT_IN,
 ) -> DataFrame:
-    """One run-log row per pipeline; a failing stage fails only the pipelines that use it."""
+    """One run-log row per pipeline; a failing stage fails only the pipelines that use it.
+
+    With a log path, pipelines that succeeded before are not run again, failures get a further attempt, and the log of all
+    attempts is returned. ``Journal(spark, log_path).read_stages()`` has the seconds of every stage.
+    """
     spark = data.df.sparkSession
     rows = list(pipelines.collect()) if isinstance(pipelines, DataFrame) else list(pipelines)
-    runner = _Runner(spark, settings, registry)
+    journal = Journal(spark, settings.log_path)
+    if settings.log_path is not None:
+        known = journal.succeeded(settings.dataset, settings.phase)
+        rows = [r for r in rows if r["pipeline_id"] not in known]
+    runner = _Runner(spark, settings, registry, journal)
     base = hold(data.df)
     try:
-        records = runner.run(replace(data, df=base), rows) if settings.reuse else runner.run_alone(
-            replace(data, df=base), rows
-        )
+        (runner.run if settings.reuse else runner.run_alone)(replace(data, df=base), rows)
     finally:
         base.unpersist()
-    return spark.createDataFrame(records, RUN_LOG_SCHEMA)
+    return journal.read_runs().filter((F.col("dataset") == settings.dataset) & (F.col("phase") == settings.phase))
 
 
 def _grouped(rows, key: str) -> dict:
@@ -116,57 +126,72 @@ def _grouped(rows, key: str) -> dict:
 
 
 class _Runner:
-    def __init__(self, spark, settings: GridSettings, registry):
-        self.spark, self.settings, self.registry = spark, settings, registry
+    def __init__(self, spark, settings: GridSettings, registry, journal: Journal):
+        self.spark, self.settings, self.registry, self.journal = spark, settings, registry, journal
+        self.store = StageStore(spark, settings.store_path) if settings.store_path is not None else None
 
-    def run(self, data: Features, rows) -> list[tuple]:
-        records: list[tuple] = []
+    def run(self, data: Features, rows) -> None:
         for imputer, imputed_rows in _grouped(rows, "imputer").items():
-            imputed = self.stage(_Stage(data), imputer, cache=True)
+            imputed = self.stage(_Stage(data), "imputer", imputer, cache=True)
             for scaler, scaled_rows in _grouped(imputed_rows, "scaler").items():
-                scaled = self.stage(imputed, scaler, cache=scaler is not None)
+                scaled = self.stage(imputed, "scaler", scaler, cache=scaler is not None)
                 groups = _grouped(scaled_rows, "feature_preprocessor")
 
                 def one_group(step, scaled=scaled, groups=groups):
-                    made = self.stage(scaled, step, cache=step is not None)
-                    done = [self.classify(made, row) for row in groups[step]]
+                    made = self.stage(scaled, "feature_preprocessor", step, cache=step is not None)
+                    for row in groups[step]:
+                        self.classify(made, row)
                     if made is not scaled:
                         made.release()
-                    return done
 
                 with ThreadPoolExecutor(max(1, self.settings.workers)) as pool:
-                    for done in pool.map(inheritable_thread_target(self.spark)(one_group), groups):
-                        records += done
+                    list(pool.map(inheritable_thread_target(self.spark)(one_group), groups))
                 if scaled is not imputed:
                     scaled.release()
             imputed.release()
-        return records
 
-    def run_alone(self, data: Features, rows) -> list[tuple]:
+    def run_alone(self, data: Features, rows) -> None:
         """Every pipeline from scratch: what the reuse is measured against."""
-        records = []
         for row in rows:
             stage = _Stage(data)
             for kind in ("imputer", "scaler", "feature_preprocessor"):
-                stage = self.stage(stage, row[kind], cache=False)
-            records.append(self.classify(stage, row))
-        return records
+                stage = self.stage(stage, kind, row[kind], cache=False)
+            self.classify(stage, row)
 
-    def stage(self, parent: _Stage, name: str | None, cache: bool) -> _Stage:
+    def stage(self, parent: _Stage, kind: str, name: str | None, cache: bool) -> _Stage:
+        """Fit and apply a component. A cached stage is computed here, so that its seconds are its own."""
         if name is None or parent.error is not None:
             return parent
-        started = time.time()
+        started, chain = time.time(), (*parent.chain, name)
+        settings = self.settings
+
+        def make() -> Features:
+            fitted = self.registry[name].fit(parent.features.train(), settings.seed)
+            return fitted.apply(parent.features)
+
+        cached = None
         try:
-            with limited(self.spark, self.settings.time_limit):
-                fitted = self.registry[name].fit(parent.features.train(), self.settings.seed)
-                made = fitted.apply(parent.features)
-            cached = hold(made.df) if cache else None
-            seconds = parent.seconds + time.time() - started
-            return _Stage(replace(made, df=cached) if cache else made, None, "", cached, seconds)
+            with limited(self.spark, settings.time_limit):
+                if self.store is not None:
+                    made = self.store.get_or_make(
+                        self.store.path(settings.dataset, settings.phase, settings.seed, list(chain)), make
+                    )
+                else:
+                    made = make()
+                if cache:
+                    cached = hold(made.df)
+                    cached.count()
+            stage = _Stage(replace(made, df=cached) if cache else made, None, "", cached, chain)
         except Exception as error:
-            return _Stage(None, error, traceback.format_exc(), None, parent.seconds + time.time() - started)
+            if cached is not None:
+                cached.unpersist()
+            stage = _Stage(None, error, traceback.format_exc(), None, chain)
+        self.journal.add_stage(
+            (settings.dataset, settings.phase, kind, name, ">".join(chain), _status(stage.error), time.time() - started, started)
+        )
+        return stage
 
-    def classify(self, stage: _Stage, row: Row) -> tuple:
+    def classify(self, stage: _Stage, row: Row) -> None:
         started = time.time()
         values: dict[tuple[str, str], float] = {}
         error, detail = stage.error, stage.detail
@@ -179,26 +204,36 @@ class _Runner:
                         values[("balanced_accuracy", r["split"])] = r["balanced_accuracy"]
             except Exception as caught:
                 error, detail = caught, traceback.format_exc()
-        status = "success" if error is None else "timeout" if isinstance(error, StageTimeout) else "failed"
-        return (
-            row["pipeline_id"],
-            self.settings.dataset,
-            self.settings.phase,
-            row["imputer"],
-            row["scaler"],
-            row["feature_preprocessor"],
-            row["classifier"],
-            status,
-            values.get(("accuracy", "train")),
-            values.get(("accuracy", "test")),
-            values.get(("balanced_accuracy", "train")),
-            values.get(("balanced_accuracy", "test")),
-            time.time() - started,
-            started,
-            None if error is None else "Runtime error:\n" + detail,
+        seconds = time.time() - started
+        name = row["classifier"]
+        self.journal.add_stage(
+            (self.settings.dataset, self.settings.phase, "classifier", name, ">".join([*stage.chain, name]), _status(error), seconds, started)
+        )
+        self.journal.add_run(
+            (
+                row["pipeline_id"],
+                self.settings.dataset,
+                self.settings.phase,
+                row["imputer"],
+                row["scaler"],
+                row["feature_preprocessor"],
+                name,
+                _status(error),
+                values.get(("accuracy", "train")),
+                values.get(("accuracy", "test")),
+                values.get(("balanced_accuracy", "train")),
+                values.get(("balanced_accuracy", "test")),
+                seconds,
+                started,
+                None if error is None else "Runtime error:\n" + detail,
+            )
         )
 
 
+def _status(error: Exception | None) -> str:
+    return "success" if error is None else "timeout" if isinstance(error, StageTimeout) else "failed"
+
+
 def run_incumbent(
     data: Features,
     log: DataFrame,

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import threading
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipegrid.functions.ordered import ROWS_PER_BUCKET, row_number_in
@@ -13,6 +16,60 @@ classifier string, status string, train_accuracy double, valid_accuracy double,
 valid_balanced_accuracy double, seconds double, started_at double, error string
 """
 
+STAGE_LOG_SCHEMA = """
+dataset string, phase string, kind string, component string, chain string, status string, seconds double,
+started_at double
+"""
+
+
+class Journal:
+    """Run and stage records of a grid, each written as soon as it is known.
+
+    Below ``root`` lie ``runs`` and ``stages``, Parquet folders that grow by a file per record. Without a root, records
+    are kept in memory only.
+    """
+
+    def __init__(self, spark: SparkSession, root: str | None):
+        self.spark, self.root = spark, root and root.rstrip("/")
+        self.runs: list[tuple] = []
+        self.stages: list[tuple] = []
+        self.lock = threading.Lock()
+
+    def add_run(self, record: tuple) -> None:
+        self._add(self.runs, "runs", record, RUN_LOG_SCHEMA)
+
+    def add_stage(self, record: tuple) -> None:
+        self._add(self.stages, "stages", record, STAGE_LOG_SCHEMA)
+
+    def _add(self, kept: list[tuple], folder: str, record: tuple, schema: str) -> None:
+        if self.root is not None:
+            self.spark.createDataFrame([record], schema).coalesce(1).write.mode("append").parquet(f"{self.root}/{folder}")
+        with self.lock:
+            kept.append(record)
+
+    def read_runs(self) -> DataFrame:
+        return self._read("runs", self.runs, RUN_LOG_SCHEMA)
+
+    def read_stages(self) -> DataFrame:
+        return self._read("stages", self.stages, STAGE_LOG_SCHEMA)
+
+    def _read(self, folder: str, kept: list[tuple], schema: str) -> DataFrame:
+        if self.root is None:
+            return self.spark.createDataFrame(kept, schema)
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{folder}")
+        except AnalysisException:  # nothing written yet
+            return self.spark.createDataFrame([], schema)
+
+    def succeeded(self, dataset: str, phase: str) -> set[str]:
+        """Pipelines that need no further attempt."""
+        mine = (F.col("dataset") == dataset) & (F.col("phase") == phase) & (F.col("status") == "success")
+        return {r["pipeline_id"] for r in self.read_runs().filter(mine).select("pipeline_id").distinct().collect()}
+
+    def attempts(self) -> DataFrame:
+        """The run log with every task's attempts numbered in time order."""
+        return number_attempts(self.read_runs(), ["dataset", "phase", "pipeline_id", "status"], "started_at", "pipeline_id")
+
 
 def number_attempts(
     runs: DataFrame, keys: list[str], order: str, tie: str, rows_per_bucket: int = ROWS_PER_BUCKET

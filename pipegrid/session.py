@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +26,31 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, name: s
     )
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the library to executors on other machines, once per application.
+
+    The archive lies on the driver, whose file server hands it out.
+    """
+    context = spark.sparkContext
+    if context.master == "local" or context.master.startswith("local[") or context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    archive = os.path.join(tempfile.mkdtemp(prefix="pipegrid-"), "pipegrid.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as packed:
+        for top in (package, os.path.join(root, "workload")):
+            for folder, _, names in os.walk(top):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        packed.write(path, os.path.relpath(path, root))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names; a temporary one only in local mode."""
     context = spark.sparkContext

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import importlib
 import pickle
 from dataclasses import replace
 
@@ -52,18 +53,37 @@ class StageStore:
 
 
 def save_component(spark: SparkSession, fitted, path: str) -> None:
-    """ML models by their own writer; other components are small and stored as one binary row."""
-    inner = getattr(fitted, "model", None)
-    if inner is not None and hasattr(inner, "write"):
-        inner.write().overwrite().save(path)
-        return
-    if isinstance(getattr(fitted, "points", None), DataFrame):
-        fitted.points.write.mode("overwrite").parquet(path)
-        return
-    row = [(type(fitted).__name__, bytearray(pickle.dumps(fitted)))]
-    spark.createDataFrame(row, "kind string, state binary").write.mode("overwrite").parquet(path)
+    """Write a fitted component below ``path``: a row that says what it is, and its parts.
+
+    ML models go by their own writer, tables as Parquet; what is left are small settings and arrays in one binary row.
+    """
+    fields = dict(vars(fitted))
+    parts = {}
+    for name, value in list(fields.items()):
+        if isinstance(value, DataFrame):
+            value.write.mode("overwrite").parquet(f"{path}/{name}")
+        elif hasattr(value, "write") and hasattr(value, "transform"):
+            value.write().overwrite().save(f"{path}/{name}")
+        else:
+            continue
+        kind = type(value)
+        parts[name] = "table" if isinstance(value, DataFrame) else f"{kind.__module__}:{kind.__name__}"
+        del fields[name]
+    row = [(type(fitted).__module__, type(fitted).__name__, bytearray(pickle.dumps((fields, parts))))]
+    spark.createDataFrame(row, "module string, kind string, state binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/component")
 
 
 def load_component(spark: SparkSession, path: str):
-    """A component saved as a binary row. Only load what you wrote yourself."""
-    return pickle.loads(bytes(spark.read.parquet(path).first()["state"]))
+    """A component written by :func:`save_component`. Only load what you wrote yourself."""
+    row = spark.read.parquet(f"{path}/component").first()
+    fields, parts = pickle.loads(bytes(row["state"]))
+    for name, kind in parts.items():
+        if kind == "table":
+            fields[name] = spark.read.parquet(f"{path}/{name}")
+        else:
+            module, model = kind.split(":")
+            fields[name] = getattr(importlib.import_module(module), model).load(f"{path}/{name}")
+    fitted = object.__new__(getattr(importlib.import_module(row["module"]), row["kind"]))
+    for name, value in fields.items():
+        object.__setattr__(fitted, name, value)
+    return fitted

@@ -141,9 +141,13 @@ ORDERS_FILLED_CTE = (
 )
 
 
+def order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of the order features, enough to find a holdout's cut."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"))
+
+
 def split_orders(spark: SparkSession, sf_dir: str) -> Features:
-    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"))
-    rows = holdout_fraction(order_features(spark, sf_dir), 0.33, SEED, keys=keys)
+    rows = holdout_fraction(order_features(spark, sf_dir), 0.33, SEED, keys=order_keys(spark, sf_dir))
     return from_columns(keep(rows), ORDER_COLUMNS)
 
 
@@ -196,11 +200,15 @@ raw as (
 data as ({split_sql('raw')})"""
 
 
-def split_documents(spark: SparkSession, sf_dir: str) -> Features:
-    keys = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id")).join(
+def document_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of the document features, without their texts."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id")).join(
         table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id")), "row_id"
     )
-    rows = holdout_fraction(document_features(spark, sf_dir), 0.33, SEED, keys=keys)
+
+
+def split_documents(spark: SparkSession, sf_dir: str) -> Features:
+    rows = holdout_fraction(document_features(spark, sf_dir), 0.33, SEED, keys=document_keys(spark, sf_dir))
     return from_columns(keep(rows), DOC_COLUMNS)
 
 

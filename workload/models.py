@@ -351,7 +351,7 @@ def run_document_grid(spark, sf, reuse=True):
     from pipegrid.operators.split import two_phases
     from pipegrid.plans import components, grid, space
 
-    both = two_phases(fx.document_features(spark, sf), fx.SEED)
+    both = two_phases(fx.document_features(spark, sf), fx.SEED, keys=fx.document_keys(spark, sf))
     data = from_columns(both.filter(F.col("test_split") == "train").drop("test_split"), DOC_COLUMNS)
     pipelines = space.enumerate_space(components.registry_table(spark, names=GRID_NAMES))
     allowed = space.drop_forbidden(pipelines, space.forbidden_table(spark))

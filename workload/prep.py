@@ -61,7 +61,7 @@ TWO_PHASE_CTE = (
     "from outer_split o left join inner_split i on o.row_id = i.row_id",
 )
 def a3(spark, sf):
-    df = split.two_phases(fx.document_features(spark, sf), SEED)
+    df = split.two_phases(fx.document_features(spark, sf), SEED, keys=fx.document_keys(spark, sf))
     return df.select("row_id", "label", "test_split", "split")
 
 
@@ -113,7 +113,7 @@ def b4(spark, sf):
 
 @query("c_s1_holdout_fraction", f"with {fx.ORDERS_SPLIT_CTE} select row_id, label, split from data")
 def cs1(spark, sf):
-    return split.holdout_fraction(fx.order_features(spark, sf), 0.33, SEED).select(*KEYS)
+    return split.holdout_fraction(fx.order_features(spark, sf), 0.33, SEED, keys=fx.order_keys(spark, sf)).select(*KEYS)
 
 
 @query(
@@ -121,7 +121,7 @@ def cs1(spark, sf):
     f"with {fx.ORDERS_CTE}, data as ({fx.split_sql('raw', 1, size='1000')}) select row_id, label, split from data",
 )
 def cs2(spark, sf):
-    return split.holdout_size(fx.order_features(spark, sf), 1000, 1).select(*KEYS)
+    return split.holdout_size(fx.order_features(spark, sf), 1000, 1, keys=fx.order_keys(spark, sf)).select(*KEYS)
 
 
 @query(
@@ -321,7 +321,7 @@ st as (select j, avg(t) as m, stddev_pop(t) as s from moved where split = 'train
 @query("e8_power_grid", power_sql())
 def e8_grid(spark, sf):
     x = fx.split_documents(spark, sf)
-    fitted = scale.fit_power(x.train(), low=LAMBDAS[0], high=LAMBDAS[-1], candidates=len(LAMBDAS), passes=1)
+    fitted = scale.fit_power(x.train(), low=LAMBDAS[0], high=LAMBDAS[-1], candidates=len(LAMBDAS), passes=1, widen=False)
     return rounded(fitted.apply(x))
 
 
