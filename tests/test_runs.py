@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pipegrid.frame import from_columns
-from pipegrid.operators import impute, metrics, scale
+from pipegrid.operators import forests, impute, metrics, neighbours, scale
 from pipegrid.plans import compare, components, grid, leaderboard, runlog, savings, space, sweep
 from pipegrid.sources import records, stages, tables
 
@@ -66,6 +66,35 @@ def test_grid_gives_the_same_log_with_and_without_reuse(spark, separable):
     assert len(best) == 1 and best[0]["phase"] == "test"
 
 
+def test_a_rerun_resumes_from_the_written_log(spark, separable, tmp_path):
+    """A run that ended early leaves its records; the next one runs the rest and numbers new attempts."""
+    registry = {n: components.BUILT_IN[n] for n in NAMES}
+    fits = []
+
+    @components.component(registry, "classifier", "Flaky")
+    def flaky(train, seed):
+        fits.append(seed)
+        raise RuntimeError("no luck")
+
+    _, allowed = counted(spark, registry=registry)
+    rows = sorted((r for r in allowed.collect() if r["scaler"] is None), key=lambda r: r["pipeline_id"])
+    settings = grid.GridSettings("d", log_path=str(tmp_path / "log"), store_path=str(tmp_path / "store"))
+    grid.run_grid(separable, rows[:3], settings, registry)
+    first = {r["pipeline_id"]: r["started_at"] for r in runlog.Journal(spark, settings.log_path).read_runs().collect()}
+    assert set(first) == {r["pipeline_id"] for r in rows[:3]}
+    log = grid.run_grid(separable, rows, settings, registry).collect()
+    done = [r for r in log if r["status"] == "success"]
+    assert {r["pipeline_id"] for r in log} == {r["pipeline_id"] for r in rows} and len(done) == len({r["pipeline_id"] for r in done})
+    assert all(r["started_at"] == first[r["pipeline_id"]] for r in done if r["pipeline_id"] in first)
+    plain = grid.run_grid(separable, [r for r in rows if r["classifier"] != "Flaky"], grid.GridSettings("d"), registry)
+    assert comparable(plain) == sorted(x for x in comparable(spark.createDataFrame(done, runlog.RUN_LOG_SCHEMA)))
+    journal = runlog.Journal(spark, settings.log_path)
+    tries = journal.attempts().filter("status = 'failed'").groupBy("pipeline_id").agg({"attempt": "max"}).collect()
+    assert sum(r["max(attempt)"] for r in tries) == len(fits)
+    seconds = journal.read_stages().filter("status = 'success'").groupBy("kind").sum("seconds").collect()
+    assert {r["kind"] for r in seconds} >= {"imputer", "classifier"} and all(r["sum(seconds)"] > 0 for r in seconds)
+
+
 def test_failures_and_timeouts_are_recorded(spark, separable):
     registry = {n: components.BUILT_IN[n] for n in NAMES}
 
@@ -208,6 +237,12 @@ def test_stage_store_and_components(spark, separable, tmp_path):
     fitted = impute.fit_mean_imputer(separable.train())
     stages.save_component(spark, fitted, str(tmp_path / "imputer"))
     assert stages.load_component(spark, str(tmp_path / "imputer")) == fitted
+    for name, fit in (("forest", lambda t: forests.fit_random_forest(t, 1, 5)), ("nearest", neighbours.fit_nearest_neighbour)):
+        model = fit(separable.train())
+        stages.save_component(spark, model, str(tmp_path / name))
+        again = stages.load_component(spark, str(tmp_path / name))
+        answers = [sorted((r["row_id"], r["y_pred"]) for r in m.predict(separable).collect()) for m in (model, again)]
+        assert answers[0] == answers[1]
 
 
 def test_user_aggregate_for_times(spark):
