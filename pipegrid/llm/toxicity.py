@@ -45,6 +45,7 @@ NEVER = -10.0  #: the value of no n-gram
 SEED = 42
 PIECE = 1 << 17  #: characters of a text that are cut into words together
 LOT = 1 << 11  #: windows that are scored together
+SLICE = 1 << 13  #: distinct words that are looked up together
 _WORDS = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -69,22 +70,29 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     Each word has len(GRAMS) entries per byte; BUCKETS stands for n-grams that its end cuts off.
     """
-    own = np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in words), np.int64, len(words)) % BUCKETS
+    parts = [_features(words[first : first + SLICE]) for first in range(0, len(words), SLICE)] or [_features([])]
+    lengths = np.concatenate([n for _, _, n in parts])
+    starts = len(GRAMS) * (np.cumsum(lengths) - lengths)
+    return np.concatenate([o for o, _, _ in parts]), np.concatenate([g for _, g, _ in parts]), starts
+
+
+def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word buckets, n-gram buckets and marked lengths of some words."""
+    own = np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) % BUCKETS for w in words), np.int32, len(words))
     marked = [b"<" + w.encode("utf-8", "replace") + b">" for w in words]
     lengths = np.fromiter(map(len, marked), np.int64, len(marked))
     ends = np.repeat(np.cumsum(lengths), lengths)
     data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
     padded = np.concatenate([data, np.zeros(max(GRAMS), np.uint64)])
     places = np.arange(len(data))
-    columns = []
-    for size in GRAMS:
+    grams = np.empty((len(data), len(GRAMS)), np.int32)
+    for column, size in enumerate(GRAMS):
         rolled = np.full(len(data), size, np.uint64)
         for k in range(size):
             rolled = (rolled * np.uint64(257) + padded[k : k + len(data)]) & np.uint64(0xFFFFFFFFFFFF)
         bucket = ((rolled * _MIX) >> np.uint64(40)).astype(np.int64) % BUCKETS
-        columns.append(np.where(places + size <= ends, bucket, BUCKETS))
-    grams = np.stack(columns, axis=1).ravel()
-    return own, grams, len(GRAMS) * np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+        grams[:, column] = np.where(places + size <= ends, bucket, BUCKETS)
+    return own, grams.ravel(), lengths
 
 
 def _embed(p: Params, own: np.ndarray, grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -92,8 +100,8 @@ def _embed(p: Params, own: np.ndarray, grams: np.ndarray, starts: np.ndarray) ->
     if not len(own):
         return np.zeros((0, 2 * EMBED), np.float32)
     peaks = np.zeros((len(own), EMBED), np.float32)
-    for first in range(0, len(own), 1 << 13):  # in slices, so that memory stays bounded
-        last = min(len(own), first + (1 << 13))
+    for first in range(0, len(own), SLICE):  # in slices, so that memory stays bounded
+        last = min(len(own), first + SLICE)
         stop = starts[last] if last < len(own) else len(grams)
         peaks[first:last] = np.maximum.reduceat(p["chars"][grams[starts[first] : stop]], starts[first:last] - starts[first], axis=0)
     return np.concatenate([p["words"][own], peaks], axis=1)
@@ -121,8 +129,9 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def _run(p: Params, side: str, inputs: np.ndarray, ids: np.ndarray, keep: list | None) -> np.ndarray:
     """States (windows, WINDOW, HIDDEN) of one direction; ``ids`` of -1 are padding, whose state is zero."""
     h = HIDDEN
-    projected = inputs @ p["in" + side] + p["bias" + side]
-    projected = np.concatenate([projected, np.zeros((1, 3 * h), np.float32)])
+    projected = np.zeros((len(inputs) + 1, 3 * h), inputs.dtype)  # the last row is for padding
+    np.matmul(inputs, p["in" + side], out=projected[:-1])
+    projected[:-1] += p["bias" + side]
     states = np.zeros((len(ids), ids.shape[1], h), np.float32)
     state = np.zeros((len(ids), h), np.float32)
     steps = range(ids.shape[1]) if side == "f" else range(ids.shape[1] - 1, -1, -1)
@@ -218,7 +227,7 @@ def window_ids(numbers: np.ndarray) -> np.ndarray:
     """Overlapping windows (rows) over a text's word numbers; -1 pads the last. A text without words has one of padding."""
     n = len(numbers)
     starts = np.arange(0, max(1, n - STRIDE if n > WINDOW else 1), STRIDE)
-    padded = np.concatenate([numbers, np.full(WINDOW, -1)])
+    padded = np.concatenate([numbers, np.full(WINDOW, -1, numbers.dtype)])
     return padded[starts[:, None] + np.arange(WINDOW)]
 
 
@@ -232,9 +241,9 @@ def _numbered(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarra
         for words in words_of(text):
             numbers = carry + [known.setdefault(w, len(known)) for w in words]
             if first or len(numbers) > len(carry):
-                rows = window_ids(np.array(numbers, np.int64))
+                rows = window_ids(np.array(numbers, np.int32))
                 windows.append(rows)
-                owner.append(np.full(len(rows), i))
+                owner.append(np.full(len(rows), i, np.int32))
             carry, first = numbers[-STRIDE:], False
     return list(known), np.concatenate(windows), np.concatenate(owner)
 
@@ -264,9 +273,11 @@ def fit(texts: list[str | None], toxic: np.ndarray, seed: int = SEED) -> Params:
     """Train on documents with labels; the calibration is in ``scale``."""
     rng = np.random.default_rng(seed)
     known, windows, owner = _numbered(texts)
-    keep = np.concatenate([rows if len(rows) <= DOC_WINDOWS else rows[np.linspace(0, len(rows) - 1, DOC_WINDOWS).astype(int)] for rows in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(owner)) + 1)])
-    windows, owner = windows[keep], owner[keep]
     feats = features(known)
+    del known
+    keep = np.concatenate([rows if len(rows) <= DOC_WINDOWS else rows[np.linspace(0, len(rows) - 1, DOC_WINDOWS).astype(int)] for rows in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(owner)) + 1)])
+    if len(keep) < len(owner):
+        windows, owner = windows[keep], owner[keep]
     bounds = np.append(np.flatnonzero(np.append(True, np.diff(owner) > 0)), len(owner))
     sizes = np.append(feats[2], len(feats[1]))
     p = new_params(seed)
@@ -384,10 +395,9 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clea
     drawn = known.filter("toxic = 1").orderBy(order, "doc_id").limit(toxic_docs).unionByName(known.filter("toxic = 0").orderBy(order, "doc_id").limit(clean_docs))
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").collect()
     rows.sort(key=lambda r: (r.doc_id, r.text or ""))
-    toxic = np.array([r.toxic for r in rows], np.int64)
-    if len(set(toxic)) < 2:
-        return None
-    return fit([r.text for r in rows], toxic)
+    toxic, texts = np.array([r.toxic for r in rows], np.int64), [r.text for r in rows]
+    del rows
+    return fit(texts, toxic) if len(set(toxic)) == 2 else None
 
 
 def scorer(params: Params | None):
