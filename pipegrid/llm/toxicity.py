@@ -388,16 +388,25 @@ def _calibrate(value: np.ndarray, toxic: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS) -> Params | None:
     """Parameters learned from labelled documents that are not held out; None without both classes.
 
-    The sample's ids, a bounded number, are broadcast; its texts come to the driver, where the network is small.
+    The sample's ids, a bounded number, are broadcast; its texts meet in one task, which trains the network and returns
+    its parameters, so that neither texts nor training take memory on the driver. A lost task starts again and learns the same.
     """
     known = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("toxic is not null and doc_id is not null").filter(~held_out())
     order = F.xxhash64(F.lit(SEED), "doc_id")
     drawn = known.filter("toxic = 1").orderBy(order, "doc_id").limit(toxic_docs).unionByName(known.filter("toxic = 0").orderBy(order, "doc_id").limit(clean_docs))
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text or ""))
-    toxic, texts = np.array([r.toxic for r in rows], np.int64), [r.text for r in rows]
-    del rows
-    return fit(texts, toxic) if len(set(toxic)) == 2 else None
+
+    def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [row for frame in frames for row in zip(frame["doc_id"], frame["text"], frame["toxic"])]
+        rows.sort(key=lambda r: (r[0], r[1] or ""))
+        toxic, texts = np.array([t for _, _, t in rows], np.int64), [text for _, text, _ in rows]
+        del rows
+        if len(set(toxic)) == 2:
+            for name, values in fit(texts, toxic).items():
+                yield pd.DataFrame({"name": [name], "kind": [values.dtype.str], "shape": [list(values.shape)], "data": [values.tobytes()]})
+
+    sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").repartition(1)
+    found = sample.mapInPandas(learn, "name string, kind string, shape array<int>, data binary").collect()
+    return {r.name: np.frombuffer(r.data, r.kind).reshape(r.shape) for r in found} or None
 
 
 def scorer(params: Params | None):
