@@ -203,6 +203,18 @@ def test_passages(make_docs):
     assert rows[3].n_words - rows[3].rep_words == 3 and 70 <= rows[3].same_words <= 72  # a word beyond may agree by chance
 
 
+@pytest.mark.parametrize("gap", [30, 60, 100, 150, 250])
+def test_passages_beside_each_other(make_docs, gap):
+    """Two passages that documents share in the same order are both found, whatever lies between them."""
+    rng = random.Random(gap)
+    one, two = prose(rng, 60), prose(rng, 60)
+    texts = [" ".join([prose(rng, 50), one, prose(rng, gap), two, prose(rng, 50)]) for _ in range(3)]
+    found = chaining.passages(make_docs(texts)).collect()
+    for doc in (1, 2):
+        for at in (50, 110 + gap):
+            assert any(r.doc_id == doc and r.rep_id == 0 and r.first_word <= at and r.first_word + r.n_words >= at + 60 and r.identity >= 0.8 for r in found)
+
+
 def test_chains_equal_quadratic_search():
     rng = random.Random(9)
     for _ in range(30):
