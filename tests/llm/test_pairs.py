@@ -215,6 +215,20 @@ def test_passages_beside_each_other(make_docs, gap):
             assert any(r.doc_id == doc and r.rep_id == 0 and r.first_word <= at and r.first_word + r.n_words >= at + 60 and r.identity >= 0.8 for r in found)
 
 
+@pytest.mark.parametrize("words, every, share", [(60, 8, None), (100, 5, None), (55, None, 0.15), (50, None, 0.2)])
+def test_fuzzy_passages(make_docs, words, every, share):
+    """Passages of at least the identity are found whatever words differ."""
+    rng = random.Random(12)
+    texts = []
+    for trial in range(40):
+        shared = prose(rng, words).split()
+        changed = range(every - 1, words, every) if every else rng.sample(range(1, words - 1), round(share * words))
+        other = [f"x{i}" if i in set(changed) else w for i, w in enumerate(shared)]
+        texts += [" ".join([prose(rng, 30), *p, prose(rng, 30)]) for p in (shared, other)]
+    found = {(r.doc_id, r.rep_id) for r in chaining.passages(make_docs(texts)).collect()}
+    assert sum((2 * t + 1, 2 * t) in found for t in range(40)) >= 38
+
+
 def test_chains_equal_quadratic_search():
     rng = random.Random(9)
     for _ in range(30):
