@@ -215,6 +215,18 @@ def test_passages_beside_each_other(make_docs, gap):
             assert any(r.doc_id == doc and r.rep_id == 0 and r.first_word <= at and r.first_word + r.n_words >= at + 60 and r.identity >= 0.8 for r in found)
 
 
+def test_passages_beyond_holders_of_parts(make_docs):
+    """Small ids hold the halves of a passage and take its short seeds; the two documents that hold it all are still linked."""
+    rng = random.Random(11)
+    texts = []
+    for trial in range(30):
+        shared = prose(rng, 60, [f"w{rng.getrandbits(40):x}" for _ in range(300)]).split()
+        for doc_id, words in ((1, shared[:30]), (2, shared[30:]), (100, shared), (200, shared)):
+            texts.append((1000 * trial + doc_id, " ".join([prose(rng, 40), *words, prose(rng, 40)])))
+    found = {(r.doc_id, r.rep_id) for r in chaining.passages(make_docs(texts)).collect()}
+    assert {(1000 * t + 200, 1000 * t + 100) for t in range(30)} <= found
+
+
 @pytest.mark.parametrize("words, every, share", [(60, 8, None), (100, 5, None), (55, None, 0.15), (50, None, 0.2)])
 def test_fuzzy_passages(make_docs, words, every, share):
     """Passages of at least the identity are found whatever words differ."""
