@@ -30,13 +30,16 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of a Pfair schedule over their sources, which the next stage packs in."""
+    """All documents in the order of a Pfair schedule over their sources."""
     return mixing.mix(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed token rows."""
-    return packing.pack(docs)
+    """Packed token rows in the order of the mixture, with the slots of their segments.
+
+    Files are not read in the order they were written in, so the order is worked out again.
+    """
+    return packing.pack(mixing.texts_with_slots(docs), slots=True)
 
 
 STAGES = [

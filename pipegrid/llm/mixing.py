@@ -133,8 +133,18 @@ def schedule(docs: DataFrame, weights: DataFrame | None = None, block: int = BLO
     return ranked.select("doc_id", F.col("name").alias("source"), "n_chars", "block", F.when(F.col("slot") < (1 << 62), F.col("slot")).alias("slot"), (F.col("start") + F.col("rank")).alias("position"))
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK_CHARS) -> DataFrame:
-    """All rows and columns of ``docs``, sorted into the order of the mixture across and within partitions."""
+def _mixed(docs: DataFrame, weights: DataFrame | None, block: int) -> DataFrame:
+    """(doc, slot, ...) of all rows, in the order of the mixture across and within partitions."""
     packed = docs.select("doc_id", "source", "n_chars", F.struct("*").alias("doc"))
     slotted = _slotted(_blocks(_masses(packed), block), weights if weights is not None else default_weights(docs))
-    return slotted.repartitionByRange(F.col("slot"), F.col("key")).sortWithinPartitions("slot", "key").select("doc.*")
+    return slotted.repartitionByRange(F.col("slot"), F.col("key")).sortWithinPartitions("slot", "key")
+
+
+def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK_CHARS) -> DataFrame:
+    """All rows and columns of ``docs``, sorted into the order of the mixture across and within partitions."""
+    return _mixed(docs, weights, block).select("doc.*")
+
+
+def texts_with_slots(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK_CHARS) -> DataFrame:
+    """(doc_id, text, slot) in that order, for steps that follow it; files that are read again don't keep it."""
+    return _mixed(docs, weights, block).select("doc.doc_id", "doc.text", F.when(F.col("slot") < (1 << 62), F.col("slot")).alias("slot"))

@@ -17,6 +17,7 @@ empty text is the end token alone. Null and repeated ids are kept as they are. A
 from __future__ import annotations
 
 import base64
+import itertools
 import json
 import re
 import uuid
@@ -41,6 +42,7 @@ ROW = 2_048
 GROUP_ROWS = 256
 PIECE = 1 << 20  #: characters tokenised together
 SCHEMA = "shard int, seq int, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, token_starts array<long>, n_tokens int"
+SLOTS = "slots array<long>"
 _CUT = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
 
 
@@ -120,18 +122,18 @@ def best_fit(lengths: list[int], row: int = ROW) -> list[list[int]]:
     return rows
 
 
-def _batch(shard: int, first: int, rows: list[list[tuple]], row: int, kind) -> pa.RecordBatch:
-    """Rows of (doc_id, start, tokens) segments as an Arrow batch."""
+def _batch(shard: int, first: int, rows: list[list[tuple]], row: int, kind, slots: bool) -> pa.RecordBatch:
+    """Rows of (doc_id, start, tokens, slot) segments as an Arrow batch."""
     ids, cumulated, resets, owners, starts, used = [], [], [], [], [], []
     for segments in rows:
         line = np.full(row, END, kind)
-        ends = np.cumsum([0, *[len(t) for _, _, t in segments]])
-        line[: ends[-1]] = np.concatenate([t for _, _, t in segments])
+        ends = np.cumsum([0, *[len(t) for _, _, t, _ in segments]])
+        line[: ends[-1]] = np.concatenate([t for _, _, t, _ in segments])
         ids.append(line.tobytes())
         cumulated.append(ends.tolist())
         resets.append(ends[:-1].tolist())
-        owners.append([d for d, _, _ in segments])
-        starts.append([s for _, s, _ in segments])
+        owners.append([d for d, _, _, _ in segments])
+        starts.append([s for _, s, _, _ in segments])
         used.append(int(ends[-1]))
     n = len(rows)
     return pa.RecordBatch.from_arrays(
@@ -144,13 +146,17 @@ def _batch(shard: int, first: int, rows: list[list[tuple]], row: int, kind) -> p
             pa.array(owners, pa.list_(pa.int64())),
             pa.array(starts, pa.list_(pa.int64())),
             pa.array(used, pa.int32()),
+            *([pa.array([[p for _, _, _, p in segments] for segments in rows], pa.list_(pa.int64()))] if slots else []),
         ],
-        names=[part.split()[0] for part in SCHEMA.split(", ")],
+        names=[part.split()[0] for part in (f"{SCHEMA}, {SLOTS}" if slots else SCHEMA).split(", ")],
     )
 
 
-def pack(docs: DataFrame, row: int = ROW, group_rows: int = GROUP_ROWS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The packed rows of ``docs`` (doc_id, text); ``shard`` is the task and ``seq`` counts its rows."""
+def pack(docs: DataFrame, row: int = ROW, group_rows: int = GROUP_ROWS, vocabulary: str = VOCABULARY, slots: bool = False) -> DataFrame:
+    """The packed rows of ``docs`` (doc_id, text); ``shard`` is the task and ``seq`` counts its rows.
+
+    With ``slots``, ``docs`` has a column ``slot`` and rows have those of their segments as well.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = np.uint16 if encoder(vocabulary).max_token_value <= 0xFFFF and END <= 0xFFFF else np.uint32
@@ -162,7 +168,7 @@ def pack(docs: DataFrame, row: int = ROW, group_rows: int = GROUP_ROWS, vocabula
 
         def emit(rows):
             nonlocal seq
-            batch = _batch(shard, seq, rows, row, kind)
+            batch = _batch(shard, seq, rows, row, kind, slots)
             seq += len(rows)
             return batch
 
@@ -170,30 +176,30 @@ def pack(docs: DataFrame, row: int = ROW, group_rows: int = GROUP_ROWS, vocabula
             return [[tails[i] for i in chosen] for chosen in best_fit([len(t[2]) for t in tails], row)]
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, text, slot in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist() if slots else itertools.repeat(None)):
                 rest, start = np.zeros(0, np.uint32), 0
                 for part in token_ids(text.as_py(), vocabulary):
                     rest = np.concatenate([rest, part]) if len(rest) else part
                     whole = len(rest) // row
                     for k in range(whole):
-                        full.append([(doc_id, start + k * row, rest[k * row : (k + 1) * row])])
+                        full.append([(doc_id, start + k * row, rest[k * row : (k + 1) * row], slot)])
                         if len(full) == group_rows:
                             yield emit(full)
                             full = []
                     start += whole * row
                     rest = rest[whole * row :]
                 if len(rest):
-                    tails.append((doc_id, start, rest.copy()))
+                    tails.append((doc_id, start, rest.copy(), slot))
                     waiting += len(rest)
                 if waiting >= group_rows * row:
-                    yield emit(packed())
-                    tails, waiting = [], 0
+                    yield emit([*full, *packed()])
+                    tails, waiting, full = [], 0, []
         if full:
             yield emit(full)
         if tails:
             yield emit(packed())
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(["slot"] if slots else [])).mapInArrow(run, f"{SCHEMA}, {SLOTS}" if slots else SCHEMA)
 
 
 def write_matrices(packed: DataFrame, folder: str) -> DataFrame:

@@ -281,6 +281,26 @@ def test_pieces_tokenise_like_the_whole():
 # --- pipeline
 
 
+def test_packing_follows_the_mixture(spark, make_docs, tmp_path):
+    """Many uneven files, read in another order than they were written in, are packed in the order of the schedule."""
+    docs = make_docs([(i, "word " * (200 + 37 * i % 2_000)) for i in range(900)])
+    for at, end in ((0, 30), (30, 500), (500, 510), (510, 800), (800, 900)):
+        part = mixing.mix(docs).filter((F.col("doc_id") >= at) & (F.col("doc_id") < end))
+        part.repartition(1 + at % 7).write.mode("append").parquet(f"{tmp_path}/mixed")
+    want = {r.doc_id: r.slot for r in mixing.schedule(docs).collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = sorted(corpus_pipeline.write_tokens(spark, spark.read.parquet(f"{tmp_path}/mixed"), "").collect(), key=lambda r: (r.shard, r.seq))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(set(want.values())) > 20 and {d for r in rows for d in r.doc_ids} == set(want)
+    assert all(s == want[d] for r in rows for d, s in zip(r.doc_ids, r.slots, strict=True))
+    shards = {}
+    for r in rows:
+        shards.setdefault(r.shard, []).extend(r.slots)
+    assert all(max(a) <= min(b) for a, b in zip(list(shards.values()), list(shards.values())[1:])) and len(shards) > 1
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     kept = docs
