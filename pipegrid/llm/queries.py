@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from pipegrid.llm import chaining, decontam, htmltext, langid, mixing, packing, simhash, spotsigs, sql, toxicity, warc
+from pipegrid.llm import chaining, decontam, htmltext, langid, lines, mixing, packing, simhash, spotsigs, sql, toxicity, warc
 from pipegrid.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,11 @@ def op8(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+@query("op11_line_cleaning", sql.LINES)
+def op11(spark, sf_dir):
+    return lines.report(read(spark, sf_dir, "documents"))
+
+
 @query("op3_toxicity")
 def op3(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")

@@ -57,3 +57,47 @@ select doc_id, source, n_chars, cast(block as bigint) as block, cast(slot as big
   row_number() over (order by slot, key) as position
 from placed
 """
+
+#: Every repeated window marks the words it covers; lines are judged by the same rules as in ``lines``.
+LINES = r"""
+with d as (
+  select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents
+), w as (
+  select rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words, string_split(text, chr(10)) as lines from d
+), windows as (
+  select rid, unnest(range(0, len(words) - 7)) as pos, unnest(list_transform(range(1, len(words) - 6), lambda i: array_to_string(words[i:i + 7], ' '))) as run
+  from w where len(words) >= 8
+), twice as (
+  select rid, pos from windows qualify count(*) over (partition by rid, run) > 1
+), covered as (
+  select rid, count(distinct pos + k) as n from twice, range(0, 8) as s(k) group by rid
+), line as (
+  select rid, unnest(lines) as line, unnest(range(1, len(lines) + 1)) as pos from w
+), bare as (
+  select rid, line, pos, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as x from line
+), judged as (
+  select rid, line, pos, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) as n,
+    len(regexp_extract_all(x, '[|>»›·•/]([\x20\x09-\x0D]|$)')) as parts,
+    len(regexp_extract_all(x, '[!?#*$%&~=+_-]{2,}([\x20\x09-\x0D]|$)')) as marks,
+    not regexp_matches(right(x, 2), '[.!?:;,…。！？]["''»”’)\]]?$') as open_end,
+    length(x) <= 200 and regexp_matches(' ' || lower(x), '[\x20\x09-\x0D(](a(ll rights reserved|lle rechte vorbehalten)|c(opyright|ookies?|lick here)|datenschutzerkl|impressum|javascript'
+      || '|l(icen[cs]ed under|orem ipsum)|mentions légales|newsletter|pol[ií]tica de privacidad|privacy policy|released under'
+      || '|s(ign (in|up)|ubscribe to)|t(erms of (use|service)|ous droits réservés|odos los derechos))([^0-9A-Za-z_]|$)') as notice
+  from bare
+), per as (
+  select rid, count(*) - count(distinct line) as n_dup,
+    sum(case when (parts > 0 and parts * 100 >= n * 20) or (marks > 0 and marks * 100 >= n * 20) or (open_end and n < 8) or notice then n else 0 end) as lost
+  from judged where n > 0 group by rid
+), counted as (
+  select doc_id, len(words) as n_words, length(array_to_string(words, '')) as word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, coalesce(n_dup, 0) as n_dup_lines,
+    coalesce(covered.n, 0) as n_repeat_words, coalesce(lost, 0) as lost_words
+  from w left join per using (rid) left join covered using (rid)
+), based as (
+  select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from counted
+)
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
+  cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words, base_failed,
+  not base_failed and lost_words * 100 <= n_words * 50 as kept, cast(lost_words as bigint) as lost_words
+from based
+"""
