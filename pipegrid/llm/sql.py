@@ -101,3 +101,24 @@ select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as
   not base_failed and lost_words * 100 <= n_words * 50 as kept, cast(lost_words as bigint) as lost_words
 from based
 """
+
+#: All scores of the anchors, plainly.
+NEGATIVES = """
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(embedding) = len(list_filter(embedding, lambda x: x is not null and isfinite(x)))
+), scored as (
+  select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as own, cast(list_inner_product(a.v, b.v) as bigint) as score
+  from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+), positive as (
+  select anchor_id, other_id as positive_id, score as positive_score from scored where own
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5
+)
+select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, other_id) as int) as rank,
+  other_id as negative_id, positive_score, score as negative_score
+from positive join scored using (anchor_id)
+where not own and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, other_id) <= 10
+"""
