@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from pipegrid.llm import chaining, decontam, htmltext, langid, lines, mixing, negatives, packing, simhash, spotsigs, sql, toxicity, warc
+from pipegrid.llm import alignment, chaining, decontam, htmltext, langid, lines, mixing, negatives, packing, simhash, spotsigs, sql, toxicity, warc
 from pipegrid.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,11 @@ def op11(spark, sf_dir):
     return lines.report(read(spark, sf_dir, "documents"))
 
 
+@query("op12_token_alignment")
+def op12(spark, sf_dir):
+    return alignment.align(read(spark, sf_dir, "documents"))
+
+
 @query("op13_hard_negatives", sql.NEGATIVES)
 def op13(spark, sf_dir):
     return negatives.mine(read(spark, sf_dir, "embeddings"))
