@@ -81,9 +81,11 @@ def fit_select_l1(train: Features, seed: int = 0) -> ColumnSelection:
     return select_above_mean(np.abs(weights[:-1]))
 
 
-def fit_select_extra_trees(train: Features, seed: int = 0, n_trees: int = 100, depth: int = 8) -> ColumnSelection:
+def fit_select_extra_trees(train: Features, seed: int = 0, n_trees: int = 100, depth: int | None = None) -> ColumnSelection:
     """Columns whose extra-trees importance (half of the columns tried per node) reaches the mean."""
+    from pipegrid.operators.deep_trees import grow_to_purity
     from pipegrid.operators.trees import grow_extra_trees
 
-    forest = grow_extra_trees(train, max(1, int(0.5 * train.dim)), seed, n_trees, depth)
+    tried = max(1, int(0.5 * train.dim))
+    forest = grow_to_purity(train, tried, seed, n_trees) if depth is None else grow_extra_trees(train, tried, seed, n_trees, depth)
     return select_above_mean(forest.importances)

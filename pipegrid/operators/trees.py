@@ -183,12 +183,12 @@ class ExtraTrees:
         return features.df.select(*features.keys(), chosen.alias("y_pred"))
 
 
-def grow_extra_trees(
-    train: Features, tried_columns: int, seed: int = 0, n_trees: int = 100, depth: int = 8, classes: int = 2
-) -> ExtraTrees:
-    """Extremely randomised trees: per node the best Gini gain among random thresholds.
+def grow_levels(
+    train: Features, tried_columns: int, seed: int, n_trees: int, depth: int, classes: int
+) -> tuple[Forest, np.ndarray, np.ndarray]:
+    """``depth`` levels of extremely randomised trees: per node the best Gini gain among random thresholds.
 
-    Depth is bounded so that a forest stays model-sized on any amount of data.
+    The forest, training rows per (tree, node, class) at its leaves, and gains per (tree, column).
     """
     dim = train.dim
     n_nodes = 2 ** (depth + 1) - 1
@@ -227,12 +227,24 @@ def grow_extra_trees(
                 break
         forest = Forest(column, threshold)
         counts = _leaf_sums(rows, dim, forest, classes)
-    total = counts.sum(axis=2, keepdims=True)
-    shares = np.divide(counts, total, out=np.zeros_like(counts), where=total > 0)
+    return forest, counts, gains
+
+
+def average_importances(gains: np.ndarray) -> np.ndarray:
+    """Shares of the gain per tree, averaged over trees."""
     per_tree = gains / np.maximum(gains.sum(axis=1, keepdims=True), 1e-300)
     importances = per_tree.mean(axis=0)
-    importances = importances / max(importances.sum(), 1e-300)
-    return ExtraTrees(forest, shares, importances)
+    return importances / max(importances.sum(), 1e-300)
+
+
+def grow_extra_trees(
+    train: Features, tried_columns: int, seed: int = 0, n_trees: int = 100, depth: int = 8, classes: int = 2
+) -> ExtraTrees:
+    """Extremely randomised trees of bounded depth: a model that stays small on any amount of data."""
+    forest, counts, gains = grow_levels(train, tried_columns, seed, n_trees, depth, classes)
+    total = counts.sum(axis=2, keepdims=True)
+    shares = np.divide(counts, total, out=np.zeros_like(counts), where=total > 0)
+    return ExtraTrees(forest, shares, average_importances(gains))
 
 
 def _side_counts(rows, dim: int, forest: Forest, tried: np.ndarray, cut: np.ndarray, classes: int) -> np.ndarray:
@@ -257,5 +269,11 @@ def _side_counts(rows, dim: int, forest: Forest, tried: np.ndarray, cut: np.ndar
     return partial_sums(rows, {ARRAY: dim}, ["label"], partial, int(np.prod(shape))).reshape(shape)
 
 
-def fit_extra_trees(train: Features, seed: int = 0, n_trees: int = 100, depth: int = 8) -> ExtraTrees:
-    return grow_extra_trees(train, max(1, int(train.dim**0.5)), seed, n_trees, depth)
+def fit_extra_trees(train: Features, seed: int = 0, n_trees: int = 100, depth: int | None = None):
+    """A root of the columns tried per node; to purity unless a depth is given."""
+    tried = max(1, int(train.dim**0.5))
+    if depth is not None:
+        return grow_extra_trees(train, tried, seed, n_trees, depth)
+    from pipegrid.operators.deep_trees import grow_to_purity
+
+    return grow_to_purity(train, tried, seed, n_trees)

@@ -290,6 +290,26 @@ model_rows("g15_kernel_svc", landmark.fit_kernel_svm)
 model_rows("g16_mlp", mlp.fit_mlp)
 
 
+# texts can agree in all features and differ in the label: their leaves stay mixed, all others are pure
+@query(
+    "g9_tree_leaves",
+    f"""with {fx.DOCS_CTE}, learned as (select * from data where split = 'train'),
+    alike as (select {', '.join(DOC_COLUMNS)}, count(*) as n, sum(label) as ones from learned group by all)
+    select cast(t.tree as int) as tree, cast(sum(n) as bigint) as n_rows, cast(sum(ones) as bigint) as n_ones,
+      cast(coalesce(sum(n) filter (ones > 0 and ones < n), 0) as bigint) as n_mixed_rows from alike cross join (select unnest(range(100)) as tree) t group by t.tree""",
+)
+def g9_leaves(spark, sf):
+    x = scaled_documents(spark, sf)
+    counts = trees.fit_extra_trees(x.train(), fx.SEED).leaves()
+    zeros, ones = F.col("counts")[0], F.col("counts")[1]
+    mixed = (zeros > 0) & (ones > 0)
+    return counts.groupBy("tree").agg(
+        F.sum(zeros + ones).cast("bigint").alias("n_rows"),
+        F.sum(ones).cast("bigint").alias("n_ones"),
+        F.sum(F.when(mixed, zeros + ones).otherwise(0)).cast("bigint").alias("n_mixed_rows"),
+    )
+
+
 # ------------------------------------------------------------------ three classes, predicted on the training rows
 
 
