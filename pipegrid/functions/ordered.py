@@ -1,37 +1,36 @@
 """Order-dependent calculations that never put one whole group into one task.
 
 A plain window over a key sorts all rows of that key in one task, which fails when a key
-holds a third of a large table. Here rows are also bucketed by ranges of the order
-column (balanced cut points), the window runs inside (key, bucket), and what crosses a
-bucket border travels through a small per-bucket table.
+holds a third of a large table. Here rows are range-partitioned by key, order and tie
+together, so that neither a frequent key nor a frequent order value makes a range larger;
+the window runs inside (key, range), and what crosses a border travels through a small
+table with a row per key and range.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pipegrid.session import cut_lineage
+
 ROWS_PER_BUCKET = 500_000
 
 
-def with_range_bucket(
-    df: DataFrame, order: str, rows_per_bucket: int = ROWS_PER_BUCKET, name: str = "__bucket"
+def in_ranges(
+    df: DataFrame, by: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET, name: str = "__bucket", at_most: int | None = None
 ) -> DataFrame:
-    """Add a bucket number that grows with ``order`` (numeric or timestamp)."""
-    numeric = F.unix_micros(F.col(order).cast("timestamp")) if dict(df.dtypes)[order].startswith("timestamp") else F.col(order)
-    work = df.withColumn("__order", numeric.cast("double"))
-    n = work.count()
-    n_buckets = -(-n // rows_per_bucket)
-    if n_buckets <= 1:
-        return work.withColumn(name, F.lit(0)).drop("__order")
-    probabilities = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = sorted(set(work.approxQuantile("__order", probabilities, 1.0 / (4 * n_buckets))))
-    splits = [float("-inf"), *cuts, float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol="__order", outputCol=name, handleInvalid="keep")
-    return bucketed.transform(work).withColumn(name, F.col(name).cast("int")).drop("__order")
+    """Add the number of a row's range; ranges follow each other in the order of the columns ``by``, nulls first.
+
+    The rows are counted unless the caller knows how many there are ``at_most``. More than one range is written to the
+    checkpoint folder, since ranges drawn anew would have other borders.
+    """
+    buckets = -(-(df.count() if at_most is None else at_most) // rows_per_bucket)
+    if buckets <= 1:
+        return df.withColumn(name, F.lit(0))
+    return cut_lineage(df.repartitionByRange(buckets, *by).withColumn(name, F.spark_partition_id()))
 
 
 def _per_bucket_prefix(df: DataFrame, keys: Sequence[str], weight: Column) -> DataFrame:
@@ -45,7 +44,7 @@ def running_sum(
     df: DataFrame, keys: Sequence[str], order: str, weight: str, out: str, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Inclusive running sum of ``weight`` per key in ``order`` (no ties in ``order``)."""
-    work = with_range_bucket(df, order, rows_per_bucket)
+    work = in_ranges(df, [*keys, order], rows_per_bucket)
     inside = Window.partitionBy(*keys, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     work = work.withColumn("__run", F.sum(weight).over(inside))
     prefix = _per_bucket_prefix(work, keys, F.col(weight))
@@ -71,7 +70,7 @@ def row_number_in(
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """1-based position of each row within its key, by (``order``, ``tie``)."""
-    work = with_range_bucket(df, order, rows_per_bucket)
+    work = in_ranges(df, [*keys, order, tie], rows_per_bucket)
     inside = Window.partitionBy(*keys, "__bucket").orderBy(order, tie)
     work = work.withColumn("__rn", F.row_number().over(inside))
     prefix = _per_bucket_prefix(work, keys, F.lit(1))
@@ -91,7 +90,7 @@ def lag_in(
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Value of the previous row of the same key by (``order``, ``tie``); NULL for the first."""
-    work = with_range_bucket(df, order, rows_per_bucket)
+    work = in_ranges(df, [*keys, order, tie], rows_per_bucket)
     inside = Window.partitionBy(*keys, "__bucket").orderBy(order, tie)
     work = work.withColumn("__lag", F.lag(value).over(inside)).withColumn("__rn", F.row_number().over(inside))
     last = work.groupBy(*keys, "__bucket").agg(F.max_by(value, F.struct(order, tie)).alias("__last"))

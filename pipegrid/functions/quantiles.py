@@ -1,9 +1,9 @@
 """Exact quantiles with linear interpolation, without one task holding a whole column.
 
-Small inputs (checked count) use the built-in exact ``percentile``. Larger ones narrow a
-bracket around every wanted rank with equal-width histograms: each pass is one scan with
-map-side counting for all columns and ranks together, no shuffle of data rows. A bracket
-that holds few rows, or a single value, is read off exactly.
+Small inputs (checked count) use the built-in exact ``percentile``. Larger ones count equal
+values, put the counts of all columns into ranges of (column, value), and pick every wanted
+rank inside its range. The number of jobs depends neither on the ranks nor on the columns,
+and the driver gets a row per range and one per wanted rank.
 """
 
 from __future__ import annotations
@@ -11,15 +11,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipegrid.functions.ordered import ROWS_PER_BUCKET, running_sum
+from pipegrid.functions.ordered import ROWS_PER_BUCKET, in_ranges, running_sum
 
 BUILTIN_VALUES = 2_000_000
-BUILTIN_RANKS = 16  # with many probabilities the built-in is slower than the brackets
-BINS = 4096
-READ_OFF = 20_000
+CELLS_PER_RANGE = 2_000_000  # a value and its count take few bytes
+BUILTIN_RANKS = 16  # with many probabilities the built-in is slower than counting values
 
 
 def column_quantiles(
@@ -27,18 +26,13 @@ def column_quantiles(
     columns: Sequence[Column],
     probabilities: Sequence[float],
     builtin_values: int = BUILTIN_VALUES,
-    read_off: int = READ_OFF,
+    rows_per_bucket: int = CELLS_PER_RANGE,
 ) -> list[list[float | None]]:
     """Per column, the quantile at every probability; NULLs are ignored."""
     probs = [float(p) for p in probabilities]
     work = df.select(*[c.cast("double").alias(f"c{j}") for j, c in enumerate(columns)])
     names = work.columns
-    head = work.agg(
-        *[F.count(c).alias(f"n_{c}") for c in names],
-        *[F.min(c).alias(f"lo_{c}") for c in names],
-        *[F.max(c).alias(f"hi_{c}") for c in names],
-    ).first()
-    counts = [head[f"n_{c}"] for c in names]
+    counts = list(work.agg(*[F.count(c) for c in names]).first())
     if sum(counts) <= builtin_values and len(probs) <= BUILTIN_RANKS:
         # one folded literal instead of an expression per probability
         folded = F.split(F.lit(",".join(map(repr, probs))), ",").cast("array<double>")
@@ -47,7 +41,7 @@ def column_quantiles(
     wanted = {
         j: sorted({r for p in probs for r in _ranks(p, n)}) for j, n in enumerate(counts) if n > 0
     }
-    found = _select_ranks(work, wanted, {j: (head[f"lo_c{j}"], head[f"hi_c{j}"]) for j in wanted}, counts, read_off)
+    found = _select_ranks(work, wanted, sum(counts), rows_per_bucket)
     return [
         [_interpolate(p, n, found[j]) if n else None for p in probs] for j, n in enumerate(counts)
     ]
@@ -68,117 +62,36 @@ def _interpolate(p: float, n: int, values: dict[int, float]) -> float:
     return (high - position) * values[low] + (position - low) * values[high]
 
 
-def _slot(v, low, width):
-    return F.least(F.floor((v - low) / width), F.lit(BINS - 1)).cast("int")
-
-
-def _local_slot(v: float, low: float, width: float) -> int:
-    return min(math.floor((v - low) / width), BINS - 1)
-
-
-def _select_ranks(work: DataFrame, wanted, limits, counts, read_off: int) -> dict[int, dict[int, float]]:
-    """Values at zero-based ranks per column, by repeated bracketing."""
-    spark = work.sparkSession
+def _select_ranks(work: DataFrame, wanted: dict[int, list[int]], at_most: int, rows_per_bucket: int) -> dict[int, dict[int, float]]:
+    """Values at zero-based ranks per column."""
+    if not wanted:
+        return {}
+    pairs = F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"c{j}").alias("v")) for j in wanted])
+    cells = work.select(F.inline(pairs)).filter(F.col("v").isNotNull()).groupBy("j", "v").agg(F.count("*").alias("n"))
+    placed = in_ranges(cells, ["j", "v"], rows_per_bucket, "part", at_most)
+    # where every range begins in its column: a row per range, and one more per column
+    sizes = placed.groupBy("j", "part").agg(F.sum("n").alias("n")).collect()
+    places, begin = [], dict.fromkeys(wanted, 0)
+    pending = {j: list(ranks) for j, ranks in wanted.items()}
+    for row in sorted(sizes, key=lambda r: (r.j, r.part)):
+        first, begin[row.j] = begin[row.j], begin[row.j] + row.n
+        while pending[row.j] and pending[row.j][0] < begin[row.j]:
+            rank = pending[row.j].pop(0)
+            places.append((row.j, row.part, rank, rank - first))
+    ranks = work.sparkSession.createDataFrame(places, "j int, part int, rank long, inside long")
+    # only ranges with a rank go on; there, a rank is met by the next count that goes beyond it
+    some = placed.join(F.broadcast(ranks.select("j", "part").distinct()), ["j", "part"], "left_semi")
+    upto = F.sum("n").over(Window.partitionBy("j", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    marks = some.select("j", "part", (2 * upto).alias("at"), "v", F.lit(None).cast("long").alias("rank"))
+    marks = marks.unionByName(ranks.select("j", "part", (2 * F.col("inside") + 1).alias("at"), F.lit(None).cast("double").alias("v"), "rank"))
+    behind = Window.partitionBy("j", "part").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+    met = marks.withColumn("v", F.coalesce("v", F.last("v", ignorenulls=True).over(behind))).filter(F.col("rank").isNotNull())
     found: dict[int, dict[int, float]] = {j: {} for j in wanted}
-    for j in wanted:
-        if limits[j][0] == limits[j][1]:
-            found[j] = {r: limits[j][0] for r in wanted[j]}
-    spread = [j for j in wanted if limits[j][0] < limits[j][1]]
-    if not spread:
-        return found
-    coarse = {j: (limits[j][0], (limits[j][1] / BINS) - (limits[j][0] / BINS)) for j in spread}
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(j).alias("j"),
-                F.col(f"c{j}").alias("v"),
-                _slot(F.col(f"c{j}"), F.lit(coarse[j][0]), F.lit(coarse[j][1])).alias("s"),
-            )
-            for j in spread
-        ]
-    )
-    # every value carries its coarse slot: the equality key for all later bracket joins
-    long = work.select(F.inline(pairs)).filter(F.col("v").isNotNull())
-    first = long.groupBy("j", "s").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    open_brackets = _brackets_with_ranks(first.collect(), {j: (0, wanted[j]) for j in spread}, lambda row: row["j"])
-    open_brackets = [(j, *rest) for j, *rest in open_brackets]
-    while open_brackets:
-        ready, wide = [], []
-        for bracket in open_brackets:
-            j, low, high, below, inside, ranks = bracket
-            if low == high:
-                found[j].update({r: low for r in ranks})
-            elif inside <= read_off:
-                ready.append(bracket)
-            else:
-                wide.append(bracket)
-        # read off in groups, so that the driver never gets more than a fixed number of rows
-        while ready:
-            batch, size = [], 0
-            while ready and (not batch or size + ready[0][4] <= 10 * read_off):
-                size += ready[0][4]
-                batch.append(ready.pop(0))
-            per_bracket: dict[int, list] = {}
-            for row in _matched(long, spark, batch, coarse).groupBy("b", "v").count().collect():
-                per_bracket.setdefault(row["b"], []).append((row["v"], row["count"]))
-            for b, (j, _, _, below, _, ranks) in enumerate(batch):
-                position, pending = below, list(ranks)
-                for value, count in sorted(per_bracket[b]):
-                    position += count
-                    while pending and pending[0] < position:
-                        found[j][pending.pop(0)] = value
-        open_brackets = []
-        if wide:
-            width = F.col("high") / BINS - F.col("low") / BINS
-            histogram = (
-                _matched(long, spark, wide, coarse)
-                .withColumn("slot", _slot(F.col("v"), F.col("low"), width))
-                .groupBy("b", "slot")
-                .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-                .collect()
-            )
-            narrowed = _brackets_with_ranks(
-                histogram, {b: (w[3], w[5]) for b, w in enumerate(wide)}, lambda row: row["b"]
-            )
-            open_brackets = [(wide[b][0], *rest) for b, *rest in narrowed]
+    for row in met.select("j", "rank", "v").collect():
+        found[row.j][row["rank"]] = row.v
     return found
 
 
-def _brackets_with_ranks(histogram, wanted, key_of) -> list:
-    """The slots that hold wanted ranks: (key, low, high, rows below, rows inside, ranks)."""
-    slots: dict = {}
-    for row in histogram:
-        slots.setdefault(key_of(row), []).append((row["low"], row["high"], row["n"]))
-    out = []
-    for key, (below, ranks) in wanted.items():
-        position, pending = below, list(ranks)
-        for low, high, n in sorted(slots[key]):
-            mine = []
-            while pending and pending[0] < position + n:
-                mine.append(pending.pop(0))
-            if mine:
-                out.append((key, low, high, position, n, mine))
-            position += n
-    return out
-
-
-def _matched(long: DataFrame, spark, brackets, coarse) -> DataFrame:
-    """Rows paired with the bracket they fall in; the bracket table is model-sized."""
-    table = spark.createDataFrame(
-        [
-            (b, j, _local_slot(low, *coarse[j]), float(low), float(high))
-            for b, (j, low, high, *_) in enumerate(brackets)
-        ],
-        "b int, jb int, sb int, low double, high double",
-    )
-    condition = (
-        (F.col("j") == F.col("jb"))
-        & (F.col("s") == F.col("sb"))
-        & F.col("v").between(F.col("low"), F.col("high"))
-    )
-    return long.join(F.broadcast(table), condition)
-
-
 def grouped_quantiles(
     df: DataFrame,
     keys: Sequence[str],

@@ -25,15 +25,45 @@ def values(spark):
     return spark.createDataFrame(rows, "id bigint, g int, v double, w double").repartition(5).cache(), v, w
 
 
-def test_column_quantiles_by_bracketing_equal_numpy(values):
+@pytest.mark.parametrize("rows_per_bucket", [50, 10**6])
+def test_column_quantiles_by_ranges_equal_numpy(values, rows_per_bucket):
     df, v, w = values
     probabilities = [0.0, 0.0025, 0.25, 1 / 3, 0.5, 0.75, 0.999, 1.0]
-    got = quantiles.column_quantiles(df, [F.col("v"), F.col("w")], probabilities, builtin_values=0, read_off=50)
+    got = quantiles.column_quantiles(df, [F.col("v"), F.col("w"), F.lit(None)], probabilities, builtin_values=0, rows_per_bucket=rows_per_bucket)
     np.testing.assert_allclose(got[0], np.quantile(v, probabilities), rtol=1e-12)
     np.testing.assert_allclose(got[1], np.quantile(w, probabilities), rtol=1e-12)
+    assert got[2] == [None] * len(probabilities)
     assert quantiles.column_quantiles(df, [F.col("v")], probabilities)[0] == pytest.approx(got[0], rel=1e-12)
 
 
+def jobs_of(spark, run) -> int:
+    spark.sparkContext.setJobGroup("counted", "")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+    run()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted")) - before
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return jobs
+
+
+def test_jobs_of_quantiles_grow_with_neither_ranks_nor_columns(spark, values):
+    df, _, _ = values
+    ask = lambda columns, n: jobs_of(
+        spark,
+        lambda: quantiles.column_quantiles(df, [F.col("v") + i for i in range(columns)], [i / n for i in range(n + 1)], 0, 400),
+    )
+    few, many = ask(1, 3), ask(12, 1000)
+    assert 0 < many <= few + 2
+
+
+def test_one_order_value_in_half_of_all_rows_is_spread(spark):
+    rows = spark.range(4000).select("id", F.lit("k").alias("k"), F.when(F.col("id") % 2 == 0, 7.0).otherwise(F.col("id")).alias("o"))
+    sizes = [r["count"] for r in ordered.in_ranges(rows, ["k", "o", "id"], 250).groupBy("__bucket").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 500
+    numbered = ordered.row_number_in(rows, ["k"], "o", "id", "rn", rows_per_bucket=250).orderBy("rn").collect()
+    want = sorted((r["o"], r["id"]) for r in numbered)
+    assert [(r["o"], r["id"]) for r in numbered] == want and [r["rn"] for r in numbered] == list(range(1, 4001))
+
+
 def test_grouped_quantiles_by_running_counts_equal_numpy(values):
     df, v, _ = values
     wanted = {"a": 0.1, "m": 0.5, "b": 0.97}
