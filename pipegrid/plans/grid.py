@@ -29,6 +29,9 @@ from pipegrid.sources.stages import StageStore
 
 TRAIN_LIMIT = 100.0  # seconds per stage in the training phase; no limit in the test phase
 
+# fixed value: how the text of a failed run begins
+ERROR_HEAD = "Runtime error:\n"
+
 
 class StageTimeout(RuntimeError):
     pass
@@ -225,7 +228,7 @@ class _Runner:
                 values.get(("balanced_accuracy", "test")),
                 seconds,
                 started,
-                None if error is None else "Runtime error:\n" + detail,
+                None if error is None else ERROR_HEAD + detail,
             )
         )
 

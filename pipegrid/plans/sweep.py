@@ -9,6 +9,11 @@ from pipegrid.functions.ordered import ROWS_PER_BUCKET, lag_in
 from pipegrid.functions.quantiles import grouped_quantiles
 
 
+# fixed values: the stages of an experiment as they occur in file names
+SOLVING = "GenerateOptimalSolutionsAndObjectiveValues__"
+MAKING = "SyntheticDataGenerator__"
+
+
 def elapsed(cumulative: DataFrame, run: str, order: str, tie: str, seconds: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Cumulative clock to seconds per step; the first step keeps its value."""
     lagged = lag_in(cumulative, [run], order, tie, seconds, "__before", rows_per_bucket)
@@ -60,8 +65,8 @@ def box_outliers(scores: DataFrame, keys: list[str], value: str, **limits) -> Da
 
 def stage_seconds(runs: DataFrame, keys: list[str]) -> DataFrame:
     """Generation and solving seconds per configuration, by stage name in the file name."""
-    solving = F.col("file_name").contains("GenerateOptimalSolutionsAndObjectiveValues__")
-    making = ~solving & F.col("file_name").contains("SyntheticDataGenerator__")
+    solving = F.col("file_name").contains(SOLVING)
+    making = ~solving & F.col("file_name").contains(MAKING)
     return runs.filter(F.col("file_name").endswith("run_time.json")).groupBy(*keys).agg(
         F.max(F.when(making, F.col("seconds"))).alias("generation_sec"),
         F.max(F.when(solving, F.col("seconds"))).alias("solution_sec"),

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from pipegrid.frame import Features, from_columns
 from pipegrid.operators.split import holdout_fraction
+from pipegrid.plans.space import CLASSIFIERS, SCALERS
+from pipegrid.plans.space import FEATURE_PREPROCESSORS as STEPS
 from workload.registry import keep
 
 SEED = 123
@@ -17,47 +19,6 @@ ORDER_COLUMNS = ["n_lines", "sum_qty", "avg_discount", "avg_tax", "max_price", "
 DOC_COLUMNS = ["n_chars", "n_words", "mean_word", "letter_share", "digit_share", "distinct_share"]
 EMB_COLUMNS = [f"f_{j}" for j in range(64)]
 
-SCALERS = [
-    "SKLMinMaxScaler",
-    "SKLNormalizer",
-    "SKLPowerTransformer",
-    "SKLQuantileTransformer",
-    "SKLRobustScaler",
-    "SKLStandardScaler",
-]
-STEPS = [
-    "SKLFastICA",
-    "SKLFeatureAgglomeration",
-    "SKLKernelPCA",
-    "SKLNystroem",
-    "SKLPCA",
-    "SKLPolynomialFeatures",
-    "SKLRandomTreesEmbedding",
-    "SKLRBFSampler",
-    "SKLSelectFromExtraTrees",
-    "SKLSelectFromLinearSVC",
-    "SKLSelectPercentile",
-    "SKLSelectRates",
-]
-CLASSIFIERS = [
-    "SKLRandomForest",
-    "SKLExtraTrees",
-    "SKLDecisionTree",
-    "SKLKNearestNeighbors",
-    "SKLGradientBoosting",
-    "SKLSGD",
-    "SKLAdaBoost",
-    "SKLLinearSVC",
-    "SKLKernelSVC",
-    "SKLLinearDiscriminantAnalysis",
-    "SKLQuadraticDiscriminantAnalysis",
-    "SKLPassiveAggressive",
-    "SKLGaussianNaiveBayes",
-    "SKLMultinomialNB",
-    "SKLBernoulliNB",
-    "SKLMultiLayerPerceptron",
-]
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

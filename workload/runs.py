@@ -837,9 +837,7 @@ CONFIG_KEYS = ["training_size", "degree", "noise", "seed"]
     from sweep group by training_size, degree, noise, seed""",
 )
 def i18(spark, sf):
-    stage = F.when(F.floor(F.col("event_id") / 1200) % 2 == 0, "SyntheticDataGenerator__").otherwise(
-        "GenerateOptimalSolutionsAndObjectiveValues__"
-    )
+    stage = F.when(F.floor(F.col("event_id") / 1200) % 2 == 0, sweep.MAKING).otherwise(sweep.SOLVING)
     runs = sweep_rows(spark, sf).withColumn("file_name", F.concat(stage, F.lit("run_time.json")))
     return columns.round_numbers(sweep.stage_seconds(runs, CONFIG_KEYS), 6)
 
