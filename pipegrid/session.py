@@ -30,12 +30,13 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send the library to executors on other machines, once per application.
+    """Send the library to Python workers, once per application.
 
-    The archive lies on the driver, whose file server hands it out.
+    The archive lies on the driver, whose file server hands it out. Workers of a local master start in the driver's
+    working directory, which needn't be this one, so they get it too.
     """
     context = spark.sparkContext
-    if context.master == "local" or context.master.startswith("local[") or context.applicationId in _SHIPPED:
+    if context.applicationId in _SHIPPED:
         return
     package = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(package)
