@@ -18,12 +18,11 @@ from dataclasses import dataclass, replace
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql import functions as F
 
 from pipegrid.frame import Features
 from pipegrid.operators.metrics import scores
 from pipegrid.plans.components import BUILT_IN, Component
-from pipegrid.plans.runlog import Journal
+from pipegrid.plans.runlog import Journal, version_of
 from pipegrid.session import hold
 from pipegrid.sources.stages import StageStore
 
@@ -103,22 +102,25 @@ def run_grid(
 ) -> DataFrame:
     """One run-log row per pipeline; a failing stage fails only the pipelines that use it.
 
-    With a log path, pipelines that succeeded before are not run again, failures get a further attempt, and the log of all
-    attempts is returned. ``Journal(spark, log_path).read_stages()`` has the seconds of every stage.
+    With a log path, pipelines that succeeded before with the same seed on the same rows are not run again, failures get a
+    further attempt, and the log of all attempts with that seed and these rows is returned. ``Journal(spark, log_path).read_stages()`` has the seconds of every stage.
     """
     spark = data.df.sparkSession
     rows = list(pipelines.collect()) if isinstance(pipelines, DataFrame) else list(pipelines)
     journal = Journal(spark, settings.log_path)
-    if settings.log_path is not None:
-        known = journal.succeeded(settings.dataset, settings.phase)
-        rows = [r for r in rows if r["pipeline_id"] not in known]
-    runner = _Runner(spark, settings, registry, journal)
     base = hold(data.df)
+    kept = settings.log_path is not None or settings.store_path is not None
+    version = version_of(base) if kept else None
+    mine = (settings.dataset, settings.phase, settings.seed, version)
     try:
+        if settings.log_path is not None:
+            known = journal.succeeded(*mine)
+            rows = [r for r in rows if r["pipeline_id"] not in known]
+        runner = _Runner(spark, settings, registry, journal, version)
         (runner.run if settings.reuse else runner.run_alone)(replace(data, df=base), rows)
     finally:
         base.unpersist()
-    return journal.read_runs().filter((F.col("dataset") == settings.dataset) & (F.col("phase") == settings.phase))
+    return journal.runs_of(*mine)
 
 
 def _grouped(rows, key: str) -> dict:
@@ -129,8 +131,8 @@ def _grouped(rows, key: str) -> dict:
 
 
 class _Runner:
-    def __init__(self, spark, settings: GridSettings, registry, journal: Journal):
-        self.spark, self.settings, self.registry, self.journal = spark, settings, registry, journal
+    def __init__(self, spark, settings: GridSettings, registry, journal: Journal, version: str | None):
+        self.spark, self.settings, self.registry, self.journal, self.version = spark, settings, registry, journal, version
         self.store = StageStore(spark, settings.store_path) if settings.store_path is not None else None
 
     def run(self, data: Features, rows) -> None:
@@ -177,7 +179,7 @@ class _Runner:
             with limited(self.spark, settings.time_limit):
                 if self.store is not None:
                     made = self.store.get_or_make(
-                        self.store.path(settings.dataset, settings.phase, settings.seed, list(chain)), make
+                        self.store.path(settings.dataset, settings.phase, settings.seed, [self.version, *map(self.named, chain)]), make
                     )
                 else:
                     made = make()
@@ -194,6 +196,12 @@ class _Runner:
         )
         return stage
 
+    def named(self, name: str) -> str:
+        """A component with what it was registered with, since stored outputs depend on that."""
+        fit = self.registry[name].fit
+        settings = (getattr(fit, "args", ()), getattr(fit, "keywords", {}), getattr(fit, "__defaults__", None))
+        return f"{name}:{getattr(fit, '__module__', '')}.{getattr(fit, '__qualname__', '')}:{settings}"
+
     def classify(self, stage: _Stage, row: Row) -> None:
         started = time.time()
         values: dict[tuple[str, str], float] = {}
@@ -229,6 +237,8 @@ class _Runner:
                 seconds,
                 started,
                 None if error is None else ERROR_HEAD + detail,
+                self.settings.seed,
+                self.version,
             )
         )
 

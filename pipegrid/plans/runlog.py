@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import threading
 
 from pyspark.errors import AnalysisException
@@ -13,7 +14,7 @@ from pipegrid.functions.ordered import ROWS_PER_BUCKET, row_number_in
 RUN_LOG_SCHEMA = """
 pipeline_id string, dataset string, phase string, imputer string, scaler string, feature_preprocessor string,
 classifier string, status string, train_accuracy double, valid_accuracy double, train_balanced_accuracy double,
-valid_balanced_accuracy double, seconds double, started_at double, error string
+valid_balanced_accuracy double, seconds double, started_at double, error string, seed long, data_version string
 """
 
 STAGE_LOG_SCHEMA = """
@@ -22,6 +23,13 @@ started_at double
 """
 
 
+def version_of(df: DataFrame) -> str:
+    """A name for a table's rows, whatever their order: their number, and the sum and the bits of their hashes."""
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    facts = df.select(row.alias("h")).agg(F.count("*"), F.sum(F.col("h").cast("decimal(20,0)")), F.bit_xor("h")).first()
+    return hashlib.md5(":".join([*map(str, facts), str(df.dtypes)]).encode()).hexdigest()
+
+
 class Journal:
     """Run and stage records of a grid, each written as soon as it is known.
 
@@ -61,14 +69,21 @@ class Journal:
         except AnalysisException:  # nothing written yet
             return self.spark.createDataFrame([], schema)
 
-    def succeeded(self, dataset: str, phase: str) -> set[str]:
+    def runs_of(self, dataset: str, phase: str, seed: int, data_version: str | None) -> DataFrame:
+        """The records of one grid: the same name and phase, seed and data."""
+        same = F.col("data_version").eqNullSafe(F.lit(data_version))
+        return self.read_runs().filter((F.col("dataset") == dataset) & (F.col("phase") == phase) & (F.col("seed") == seed) & same)
+
+    def succeeded(self, dataset: str, phase: str, seed: int, data_version: str | None) -> set[str]:
         """Pipelines that need no further attempt."""
-        mine = (F.col("dataset") == dataset) & (F.col("phase") == phase) & (F.col("status") == "success")
-        return {r["pipeline_id"] for r in self.read_runs().filter(mine).select("pipeline_id").distinct().collect()}
+        done = self.runs_of(dataset, phase, seed, data_version).filter("status = 'success'")
+        return {r["pipeline_id"] for r in done.select("pipeline_id").distinct().collect()}
 
     def attempts(self) -> DataFrame:
         """The run log with every task's attempts numbered in time order."""
-        return number_attempts(self.read_runs(), ["dataset", "phase", "pipeline_id", "status"], "started_at", "pipeline_id")
+        return number_attempts(
+            self.read_runs(), ["dataset", "phase", "seed", "data_version", "pipeline_id", "status"], "started_at", "pipeline_id"
+        )
 
 
 def number_attempts(

@@ -95,6 +95,32 @@ def test_a_rerun_resumes_from_the_written_log(spark, separable, tmp_path):
     assert {r["kind"] for r in seconds} >= {"imputer", "classifier"} and all(r["sum(seconds)"] > 0 for r in seconds)
 
 
+def test_another_seed_or_other_data_run_again(spark, separable, tmp_path):
+    from dataclasses import replace
+
+    registry = {n: components.BUILT_IN[n] for n in NAMES}
+    fits = []
+
+    @components.component(registry, "classifier", "Counting")
+    def counting(train, seed):
+        fits.append(seed)
+        return components.BUILT_IN["SKLGaussianNaiveBayes"].fit(train, seed)
+
+    _, allowed = counted(spark, registry=registry)
+    rows = [r for r in allowed.collect() if r["classifier"] == "Counting" and r["feature_preprocessor"] is None][:2]
+    settings = grid.GridSettings("d", log_path=str(tmp_path / "log"), store_path=str(tmp_path / "store"))
+    run = lambda data, s: comparable(grid.run_grid(data, rows, s, registry))
+    first = run(separable, settings)
+    n = len(fits)
+    # the same rows in another order are the same data
+    assert run(replace(separable, df=separable.df.repartition(3)), settings) == first and len(fits) == n
+    assert len(run(separable, replace(settings, seed=7))) == len(rows) and len(fits) == 2 * n and fits[-1] == 7
+    other = replace(separable, df=separable.df.withColumn("label", 1 - F.col("label")).filter("row_id % 5 > 0"))
+    fresh = comparable(grid.run_grid(other, rows, grid.GridSettings("d"), registry))
+    assert run(other, settings) == fresh and len(fits) == 4 * n
+    assert run(separable, settings) == first and len(fits) == 4 * n
+
+
 def test_failures_and_timeouts_are_recorded(spark, separable):
     registry = {n: components.BUILT_IN[n] for n in NAMES}
 
@@ -131,7 +157,7 @@ def test_user_estimators(spark, separable):
 
 def test_no_success_means_no_incumbent(spark, separable):
     log = spark.createDataFrame(
-        [("p", "d", "train", "i", None, None, "c", "failed", None, None, None, None, 1.0, 0.0, "x")], runlog.RUN_LOG_SCHEMA
+        [("p", "d", "train", "i", None, None, "c", "failed", None, None, None, None, 1.0, 0.0, "x", 123, None)], runlog.RUN_LOG_SCHEMA
     )
     assert leaderboard.incumbents(log, ["dataset"]).count() == 0
     with pytest.raises(ValueError, match="no incumbent"):
