@@ -105,5 +105,18 @@ def savings_report(per_kind: DataFrame, totals: DataFrame, by: list[str]) -> Dat
     )
 
 
+def log_report(
+    runs: DataFrame, stages: DataFrame, by: list[str], func: str | Callable[[Column], Column] = "mean"
+) -> DataFrame:
+    """The report of a grid's own log: ``runs`` and ``stages`` as its journal holds them.
+
+    A component's times are its successful stage records under the same ``by`` columns (dataset, phase), so stages that
+    a resumed grid computed again count again. Groups without a successful run have no row.
+    """
+    saved_kinds = stages.filter((F.col("status") == "success") & F.col("kind").isin(*SAVED_KINDS))
+    per_component = component_savings(component_uses(runs, by), component_times(saved_kinds, by, func), by)
+    return savings_report(savings_per_kind(per_component, by), dataset_totals(runs, by), by)
+
+
 def geometric_means(report: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:
     return report.agg(*[F.round(geometric_mean(F.col(c)), digits).alias(c) for c in columns])

@@ -144,6 +144,27 @@ def test_failures_and_timeouts_are_recorded(spark, separable):
     assert summary["n_runs"] == len(rows) and summary["failed"] >= 2 and summary["timeout"] >= 1
 
 
+def test_savings_of_a_log(spark):
+    def run(pipeline, scaler, step, status, seconds):
+        return (pipeline, "d", "train", "I", scaler, step, "C", status, None, None, None, None, seconds, 0.0, None, 1, "v")
+
+    runs = spark.createDataFrame(
+        [run("a", "S", "P", "success", 5.0), run("b", "S", None, "success", 3.0), run("c", "S", "P", "success", 2.0), run("d", "S", None, "failed", 10.0)],
+        runlog.RUN_LOG_SCHEMA,
+    )
+    stage = lambda kind, name, status, seconds: ("d", "train", kind, name, name, status, seconds, 0.0)
+    made = [stage("imputer", "I", "success", 1.0), stage("scaler", "S", "success", 2.0), stage("scaler", "S", "success", 4.0)]
+    made += [stage("feature_preprocessor", "P", "success", 1.5), stage("feature_preprocessor", "P", "failed", 99.0), stage("classifier", "C", "success", 1.0)]
+    stages_log = spark.createDataFrame(made, runlog.STAGE_LOG_SCHEMA)
+    (row,) = savings.log_report(runs, stages_log, ["dataset", "phase"]).collect()
+    # the imputer ran once for three uses, the scaler twice (3 s each), the step once for two
+    assert (row["imputer_saved_sec"], row["scaler_saved_sec"], row["feature_preprocessor_saved_sec"]) == (2.0, 3.0, 1.5)
+    assert (row["imputer_avoided_runs"], row["scaler_avoided_runs"], row["feature_preprocessor_avoided_runs"]) == (2, 1, 1)
+    assert row["total_run_sec"] == 20.0 and row["total_components"] == 8
+    assert row["saved_percent"] == pytest.approx(6.5 / 26.5 * 100) and row["avoided_percent"] == 50.0
+    assert savings.log_report(runs.limit(0), stages_log, ["dataset", "phase"]).count() == 0
+
+
 def test_user_estimators(spark, separable):
     from pyspark.ml.classification import NaiveBayes
     from pyspark.ml.feature import MinMaxScaler
