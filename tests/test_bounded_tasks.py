@@ -2,10 +2,13 @@
 
 import hashlib
 import math
+import tracemalloc
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pipegrid.functions.joins import join_keyed
+from pipegrid.operators import landmark
 from pipegrid.sources.synthetic import cost_pattern, generate_costs
 
 
@@ -44,3 +47,33 @@ def test_join_of_frequent_keys_equals_the_plain_join(spark):
     want = sorted(map(tuple, rows.join(keyed, "key").collect()))
     for few in (0, 1000):
         assert sorted(map(tuple, join_keyed(rows, keyed, "key", F.col("id"), 100, few).collect())) == want
+
+
+def peak_mb(fn):
+    tracemalloc.start()
+    try:
+        return fn(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_kernel_map_holds_a_slice(monkeypatch):
+    """A full batch of 10,000 rows against 2,000 points never has its whole kernel matrix in memory."""
+    rng = np.random.default_rng(1)
+    points, weights, x = rng.normal(size=(2000, 6)), rng.normal(size=(2000, 20)), rng.normal(size=(10_000, 6))
+    caught = []
+    monkeypatch.setattr(landmark, "block_map", lambda fn, array, dim: caught.append(fn) or F)
+    monkeypatch.setattr(landmark, "from_array", lambda *made: None)
+    monkeypatch.setattr(F, "alias", lambda name: name, raising=False)
+
+    class Source:
+        dim, df = 6, type("Rows", (), {"select": staticmethod(lambda *c: None)})
+        array, keys = (lambda self: None), (lambda self: [])
+
+    means = landmark.rbf(points, points, 0.1).mean(axis=0)
+    landmark.KernelMap(points, weights, 0.1, means, 0.5).apply(Source())
+    got, mb = peak_mb(lambda: caught[0](x))
+    k = landmark.rbf(x, points, 0.1)
+    assert np.allclose(got, (k - means - k.mean(axis=1, keepdims=True) + 0.5) @ weights)
+    assert mb < 60
+    assert caught[0](x[:0]).shape == (0, 20)
