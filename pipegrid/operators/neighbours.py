@@ -29,7 +29,8 @@ BROADCAST_DOUBLES = 8_000_000
 MAX_PIVOTS = 4096
 BLOCK_ROWS = 20_000
 QUERY_ROWS = 20_000
-SLICE_DOUBLES = 4_000_000  # distances held at once in a worker
+KNOWN_ROWS = 8_192  # known rows that are copied and compared at once
+SLICE_DOUBLES = 1_000_000  # distances held at once in a worker
 
 
 @dataclass(frozen=True)
@@ -164,11 +165,21 @@ class NearestNeighbour:
         return found.groupBy("row_id").agg(nearest).select("row_id", "m.*")
 
 
-def nearest_positions(rows: np.ndarray, known: np.ndarray, budget: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+def nearest_positions(rows: np.ndarray, known: np.ndarray, budget: int = 1_000_000, portion: int = KNOWN_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Index of the nearest known row (lowest index on ties) and its squared distance.
 
-    Squares are compared, because a root can make two different distances equal.
+    Squares are compared, because a root can make two different distances equal. The known rows are taken in portions,
+    so that only one portion is copied and compared at a time.
     """
+    at, away = _nearest_of(rows, known[:portion], budget)
+    for start in range(portion, len(known), portion):
+        found, gap = _nearest_of(rows, known[start : start + portion], budget)
+        closer = gap < away  # on ties the earlier portion stays
+        at[closer], away[closer] = found[closer] + start, gap[closer]
+    return at, away
+
+
+def _nearest_of(rows: np.ndarray, known: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
     at = np.empty(len(rows), dtype=np.int64)
     away = np.empty(len(rows))
     step = max(1, budget // max(1, len(known)))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pipegrid.functions.joins import join_keyed
-from pipegrid.operators import landmark
+from pipegrid.operators import landmark, neighbours
 from pipegrid.sources.synthetic import cost_pattern, generate_costs
 
 
@@ -77,3 +77,17 @@ def test_kernel_map_holds_a_slice(monkeypatch):
     assert np.allclose(got, (k - means - k.mean(axis=1, keepdims=True) + 0.5) @ weights)
     assert mb < 60
     assert caught[0](x[:0]).shape == (0, 20)
+
+
+def test_nearest_positions_copy_a_portion():
+    rng = np.random.default_rng(2)
+    known = rng.integers(0, 3, (60_000, 8)).astype(float)  # many ties, far apart
+    x = rng.integers(0, 3, (200, 8)) + rng.choice([0.0, 0.25], (200, 8))
+    (at, away), mb = peak_mb(lambda: neighbours.nearest_positions(x, known))
+    squares = ((x[:, None, :] - known[None, :, :]) ** 2).sum(axis=2)
+    assert (at == squares.argmin(axis=1)).all() and (away == squares.min(axis=1)).all()
+    wide = rng.normal(size=(60_000, 64))
+    _, mb = peak_mb(lambda: neighbours.nearest_positions(wide[:200], wide))
+    assert mb < 50
+    at, away = neighbours.nearest_positions(x, known, portion=7)
+    assert (at == squares.argmin(axis=1)).all()
