@@ -97,11 +97,11 @@ def test_nearest_positions_copy_a_portion():
 def test_few_small_vectors_of_a_cache_need_no_merge(spark, monkeypatch):
     monkeypatch.setattr(blocks, "expected_tasks", lambda df: 300)
     data = spark.range(0, 40, numPartitions=4).select(F.array(F.col("id").cast("double"), F.lit(1.0)).alias("features"))
-    assert blocks.merge_levels(data, 2) == 2  # not cached: its partitions are guessed
+    assert blocks.merge_levels(data, 2) == 1  # not cached: its partitions are guessed
     cached = data.cache()
     try:
         assert blocks.merge_levels(cached, 2) == 0
-        assert blocks.merge_levels(cached, blocks.UNMERGED_DOUBLES) == 2
+        assert blocks.merge_levels(cached, blocks.UNMERGED_DOUBLES) == 1
         total = blocks.partial_sums(cached, {"features": 2}, [], lambda d: d["features"].sum(axis=0), 2)
         assert total.tolist() == [40 * 39 / 2, 40]
     finally:
