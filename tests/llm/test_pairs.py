@@ -242,6 +242,45 @@ def test_fuzzy_passages(make_docs, words, every, share):
     assert sum((2 * t + 1, 2 * t) in found for t in range(40)) >= 38
 
 
+def test_passages_of_frequent_seeds(make_docs):
+    """All seeds of the passage lie in both documents many times; it stands first in one and last in the other."""
+    rng = random.Random(14)
+    runs = [[f"w{10 * i + j}" for j in range(9)] for i in range(6)]
+    strange = (f"z{i}" for i in itertools.count())
+    passage = lambda mark: [w for i, run in enumerate(runs) for w in [*run, f"{mark}{i}"]]
+
+    def scattered():
+        places = [run for run in runs for _ in range(12)]
+        rng.shuffle(places)
+        return [w for run in places for w in [*run, *(next(strange) for _ in range(30))]]
+
+    texts = [" ".join([*passage("x"), *scattered()]), " ".join([*scattered(), *passage("y")])]
+    start = len(texts[1].split()) - 60
+    found = chaining.passages(make_docs(texts)).collect()
+    assert any(r.doc_id == 1 and r.rep_id == 0 and r.first_word == start and r.n_words >= 59 and r.rep_first_word == 0 for r in found)
+
+
+@pytest.mark.parametrize("held", [1 << 18, 1 << 12])
+def test_chains_of_periodic_texts(monkeypatch, held):
+    """Listed places make one passage of a periodic text; smaller squares find what all pairs together do."""
+    monkeypatch.setattr(chaining, "PAIRS_HELD", held)
+    words = np.array([i % 3 for i in range(2000)], np.uint64)
+    found, at = chaining.minimizers(words)
+    ids = np.repeat([1, 2], len(at))
+    met = chaining._met(np.tile(found.view(np.uint64), 2), ids, np.tile(at * len(chaining.RUNS), 2).astype(np.uint32))
+    assert len(met) == 2 * len(at)  # not a row for each pair
+    made = list(chaining.all_chains(met["pair"].to_numpy()))
+    assert len(made) == 1 and made[0][0] == (0, 0) and made[0][-1] == (1996, 1996)
+    # of the same places in another order, every stretch that is in both is found
+    shifted = np.concatenate([words[:900], np.arange(10, 90, dtype=np.uint64), words[901:1600]])
+    found2, at2 = chaining.minimizers(shifted)
+    both = np.concatenate([found, found2]).view(np.uint64)
+    met = chaining._met(both, np.repeat([1, 2], [len(at), len(at2)]), np.append(at, at2).astype(np.uint32) * len(chaining.RUNS))
+    spans = [(c[0][0], c[-1][0] + chaining.K) for c in chaining.all_chains(met["pair"].to_numpy())]
+    for first in (0, 100, 850, 985, 1500):
+        assert any(a <= first and b >= first + 45 for a, b in spans)
+
+
 def test_chains_equal_quadratic_search():
     rng = random.Random(9)
     for _ in range(30):
