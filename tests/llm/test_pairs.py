@@ -322,6 +322,57 @@ def test_passages_with_forced_collisions(make_docs):
     assert all(r[6] >= 0.8 * r[2] >= 32 for r in map(tuple, chaining.passages(docs, 2).collect()))
 
 
+def test_passages_free_their_shuffles(spark, make_docs):
+    """Seeds and matches leave no files behind once the chains are written."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        every = disk.getAllFiles()
+        return {every.apply(i).getName() for i in range(every.size()) if every.apply(i).getName().startswith("shuffle_")}
+
+    before = files()
+    text = prose(random.Random(3), 80)
+    found = chaining.chained(chaining.matches(chaining.seeds(make_docs([text, text]), 8), 8))
+    assert len(found.collect()) == 1
+    assert not {n for n in files() - before if n.endswith(".data")}
+
+
+def test_buckets_do_not_follow_the_session(spark, make_docs, monkeypatch):
+    """A bucket may send a row to every part, so their numbers follow the input alone."""
+    seen = []
+    monkeypatch.setattr(chaining, "chained", lambda met: met)
+    monkeypatch.setattr(chaining, "matches", lambda found, parts, _bytes: seen.append(parts) or found)
+    monkeypatch.setattr(chaining, "_stretches", lambda docs, found: 1 / 0)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in ("4", "300"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            with pytest.raises(ZeroDivisionError):
+                chaining.passages(make_docs(["a few words"]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] == chaining.LEAST_BUCKETS
+
+
+def test_shared_words_bound_every_alignment():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        words = rng.integers(0, 30, 120)
+        other = np.where(rng.random(120) < 0.2, rng.integers(0, 60, 120), words)
+        at = np.sort(rng.choice(110, 6, replace=False))
+        most = chaining._shared(words, np.array([0, 120]), other, np.array([0, 120]))[0]
+        assert all(same <= most for *_, same in chaining.align(at, at, words, other))
+    ends = np.array([0, 2, 2, 5])
+    assert list(chaining._shared(np.array([1, 2, 1, 1, 3]), ends, np.array([2, 1, 3, 1]), np.array([0, 1, 2, 4]))) == [1, 0, 3]
+
+
+def test_words_are_those_of_the_expression():
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x30000)]))
+    texts = ["", " ", "Plain_ASCII text, 2 words\x1cand\tmore!", "Ärger \u00a0 ÉTÉ\u2028x\u00b2 \u0130I", *(c.join(["a", "b"]) for c in every[:0x3000]), every]
+    for text in texts:
+        assert chaining.words_of(text) == chaining._WORDS.findall(text.lower())
+
+
 def test_minimizers_cover_every_run():
     import numpy as np
 
