@@ -373,6 +373,14 @@ def test_words_are_those_of_the_expression():
         assert chaining.words_of(text) == chaining._WORDS.findall(text.lower())
 
 
+def test_hashes_of_words():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcéß世x_9") for _ in range(rng.randint(1, 50))) for _ in range(3000)] + ["a", "b" * 31, "b" * 32, "\ud800"]
+    want = [xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) for w in words]
+    assert chaining.hashes_of(words).tolist() == want and len(chaining.hashes_of([])) == 0
+    assert [chaining.hashes_of([w])[0] for w in words[:50]] == want[:50]
+
+
 def test_minimizers_cover_every_run():
     import numpy as np
 
