@@ -11,6 +11,8 @@ Equal fingerprints are one node. In each cell, members first link to the cell's
 which joins a dense group of near copies with as many links as members; only members of different components are then
 compared with each other.
 
+No join is a broadcast: tables that are small enough for one come many times, and would gather on the driver.
+
 Nulls and empty texts get fingerprint zero and link like any other. Rows with equal id and text are one document
 for :func:`deduplicate`. A component without any id has a null component_id.
 """
@@ -112,31 +114,31 @@ def links(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
         raise ValueError(f"bits must be 0 to {MAX_BITS}")
     cells = _in_cells(prints)
     heads = cells.groupBy("cell").agg(F.min("fp").alias("head"), F.count("*").alias("n")).filter("n > 1").select("cell", "head")
-    shared = cut_lineage(cells.join(heads, "cell"))
+    shared = cut_lineage(cells.join(heads.hint("merge"), "cell"))
     stars = components(shared.filter((F.col("fp") != F.col("head")) & (F.expr("bit_count(fp ^ head)") <= bits)).select(F.col("fp").alias("a"), F.col("head").alias("b")).distinct())
-    named = shared.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("component", "fp"))
+    named = shared.join(stars.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("group", F.coalesce("component", "fp"))
     mixed = named.groupBy("cell").agg(F.min("group").alias("least"), F.max("group").alias("most")).filter("least <> most").select("cell")
-    named = cut_lineage(named.join(mixed, "cell").select("cell", "p", "q", "fp", "at", "ones", "group"))
+    named = cut_lineage(named.join(mixed.hint("merge"), "cell").select("cell", "p", "q", "fp", "at", "ones", "group"))
     x, y = named.alias("x"), named.alias("y")
     first = [(F.col("x.at")[g] != F.col("y.at")[g]) | (F.col("x.q") <= g) | (F.col("x.p") == g) for g in range(5)]
     lower = sum((F.abs(F.col("x.ones")[g] - F.col("y.ones")[g]) for g in range(1, 6)), F.abs(F.col("x.ones")[0] - F.col("y.ones")[0]))
     near = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.group") < F.col("y.group")) & (lower <= bits) & (_distance("x", "y") <= bits)
     for once in first:  # a pair that meets in several cells is taken in the first
         near = near & once
-    crossing = x.join(y, near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    crossing = x.join(y.hint("merge"), near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     spokes = stars.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     return components(spokes.unionByName(crossing))
 
 
 def near_duplicates(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """(row, doc_id, fp, component, component_id) of every document of ``docs``."""
-    prints = cut_lineage(fingerprints(docs))
+    prints = cut_lineage(fingerprints(docs), once=True)
     linked = links(prints.select("fp").distinct(), bits)
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    named = firsts.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = firsts.join(linked.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "component").select("fp", "component", "component_id")
-    return prints.join(named, "fp").select("row", "doc_id", "fp", "component", "component_id")
+    named = named.join(least.hint("merge"), "component").select("fp", "component", "component_id")
+    return prints.join(named.hint("merge"), "fp").select("row", "doc_id", "fp", "component", "component_id")
 
 
 def hex_print(fp: str = "fp") -> Column:
@@ -149,4 +151,4 @@ def deduplicate(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
     winners = grouped.groupBy("component").agg(F.min_by("row", order).alias("row")).select("row").distinct()
     packed = docs.select(row_key().alias("row"), F.struct("*").alias("doc"))
-    return packed.join(winners, "row", "left_semi").dropDuplicates(["row"]).select("doc.*")
+    return packed.join(winners.hint("merge"), "row", "left_semi").dropDuplicates(["row"]).select("doc.*")

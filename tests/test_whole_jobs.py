@@ -4,7 +4,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pipegrid.frame import from_columns
+from pipegrid.llm import common, simhash
 from pipegrid.operators import landmark
+from pipegrid.session import cut_lineage
 from tests.conftest import matrix
 
 
@@ -37,3 +39,33 @@ def test_kernel_pca_of_repeated_and_equal_rows(spark):
     assert abs(scale[0] / scale[1] - 1) < 1e-6
     equal = from_columns(df.withColumn("a", F.lit(2.0)), ["a", "b"])
     assert landmark.fit_kernel_pca(equal, limit=40).apply(equal).dim == 0
+
+
+def test_simhash_broadcasts_nothing(spark, monkeypatch):
+    """Tables below the broadcast threshold, of which there are many, would all lie on the driver."""
+    plans = []
+
+    def seen(df, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut_lineage(df, **options)
+
+    monkeypatch.setattr(simhash, "cut_lineage", seen)
+    monkeypatch.setattr(common, "cut_lineage", seen)
+    rows = [(i, " ".join(f"w{i // 3}x{j}" for j in range(40)) + (" more" if i % 3 else "")) for i in range(30)] + [(None, None), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = simhash.deduplicate(docs)
+    plans.append(kept._jdf.queryExecution().executedPlan().toString())
+    assert kept.count() < len(rows) and len(plans) > 6
+    assert not [p for p in plans if "Broadcast" in p] and any("SortMergeJoin" in p for p in plans)
+
+
+def test_checkpoint_computes_costly_rows_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield batch
+
+    made = cut_lineage(spark.range(0, 50, numPartitions=2).mapInArrow(run, "id long"), free_shuffles=True, once=True)
+    assert made.count() == 50 and calls.value == 50 and not made.storageLevel.useMemory
