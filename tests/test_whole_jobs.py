@@ -1,13 +1,18 @@
 """Jobs that take all their input, beyond the size that one task or the driver holds."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from pipegrid.frame import from_columns
+from pipegrid.functions import joins
 from pipegrid.llm import common, simhash
-from pipegrid.operators import landmark
+from pipegrid.operators import keyed, landmark
+from pipegrid.operators.regress import keyed_partial_sums
 from pipegrid.session import cut_lineage
 from tests.conftest import matrix
+from workload import sweeps
 
 
 def test_kernel_pca_takes_all_rows_beyond_the_limit(separable):
@@ -69,3 +74,42 @@ def test_checkpoint_computes_costly_rows_once(spark):
 
     made = cut_lineage(spark.range(0, 50, numPartitions=2).mapInArrow(run, "id long"), free_shuffles=True, once=True)
     assert made.count() == 50 and calls.value == 50 and not made.storageLevel.useMemory
+
+
+def test_keyed_sums_send_what_is_less(spark):
+    """Vectors where a key's rows lie together, rows where keys of few rows are scattered; null keys are a key."""
+    rows = [(None if i % 50 == 7 else f"k{i % 50}", [float(i), 1.0], [float(i % 3)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "key string, x array<double>, y array<double>")
+    want = {}
+    for key, x, y in rows:
+        want[key] = want.get(key, 0) + np.array([x[0] * y[0]] * 9)
+    for layout, vectors in ((df.repartition(8), False), (df.repartition(3, "key"), True)):
+        made = keyed_partial_sums(layout, "key", {"x": 2, "y": 1}, lambda d: np.full(9, (d["x"][:, 0] * d["y"][:, 0]).sum()), 9)
+        assert ("MapInArrow" in made._jdf.queryExecution().executedPlan().toString()) == vectors
+        got = {r.key: r.v for r in made.collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_sweep_draws_costs_after_rows_met_their_models(spark, monkeypatch, tmp_path):
+    """Forty costs and a path a row are neither cached nor sent through a shuffle."""
+    spark.range(1, 3_000).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(joins.join_keyed, "__defaults__", (10_000, 10))  # as with many configurations
+    monkeypatch.setattr(sweeps, "keep", kept := Kept())
+    scores = sweeps.swept(spark, str(tmp_path), [keyed.LINEAR])
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert not {"costs", "sol", "features"} & set(kept.columns)
+    lines = plan.split("\n")
+    depth = {i: len(re.match(r"[ :+-]*", line)[0]) for i, line in enumerate(lines)}
+    join = max(i for i, line in enumerate(lines) if "SortMergeJoin [config" in line)  # of rows and models
+    left = next(i for i in range(join + 2, len(lines)) if depth[i] == depth[join + 1])  # where the models begin
+    assert "costs(" in "".join(lines[:join]) and "costs(" not in "".join(lines[join:left])
+    assert scores.count() == 48
+
+
+class Kept:
+    def __init__(self):
+        self.columns = []
+
+    def __call__(self, df):
+        self.columns += df.columns
+        return df.cache()
