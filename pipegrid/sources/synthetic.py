@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pipegrid.functions.blocks import as_block
 from pipegrid.functions.hashing import TWO32, hash_normal, hash_uniform, local_uniform
+from pipegrid.functions.joins import join_keyed
 
 N_FEATURES = 5
 GRID = (5, 5)
@@ -53,7 +54,7 @@ def cost_patterns(seed: Column, n_edges: int, n_features: int = N_FEATURES) -> C
 
 
 def generate_costs(
-    instances: DataFrame, n_features: int = N_FEATURES, grid: tuple[int, int] = GRID
+    instances: DataFrame, n_features: int = N_FEATURES, grid: tuple[int, int] = GRID, native: bool = False
 ) -> DataFrame:
     """Add ``features`` and ``costs`` to rows of (instance_id, degree, noise, seed, ...).
 
@@ -61,6 +62,7 @@ def generate_costs(
     Everything is a function of the row, so there is no join and no shuffle: the 0/1 pattern
     of a seed follows from the seed, and a worker keeps the patterns it met last. Rows
     without a seed are left out; without key, degree or noise their costs are NULL.
+    ``native`` does without Python: the patterns then come from a table with a row per seed.
     """
     n_edges = len(grid_edges(grid))
     key, salt = F.col("instance_id"), F.col("seed").cast("string")
@@ -69,6 +71,8 @@ def generate_costs(
     )
     drawn = instances.filter(F.col("seed").isNotNull()).withColumn("features", features)
     drawn = drawn.select("seed", *[c for c in drawn.columns if c != "seed"])
+    if native:
+        return _native_costs(drawn, n_edges, n_features)
 
     @F.arrow_udf("array<double>")
     def costs(salts: pa.Array, keys: pa.Array, degree: pa.Array, noise: pa.Array, x: pa.Array) -> pa.Array:
@@ -87,6 +91,24 @@ def generate_costs(
     return drawn.withColumn("costs", costs(salt, key.cast("string"), F.col("degree"), F.col("noise"), F.col("features")))
 
 
+def _native_costs(drawn: DataFrame, n_edges: int, n_features: int) -> DataFrame:
+    patterns = drawn.select("seed").distinct().withColumn("pattern", cost_patterns(F.col("seed"), n_edges, n_features))
+    degree, width = F.col("degree"), F.col("noise")
+    end = F.concat(F.lit(":"), F.col("seed").cast("string"), F.lit(":"), F.col("instance_id").cast("string"))
+
+    def cost(row, e):
+        # one lambda over the edges keeps the plan small; unrolled it would not compile
+        dot = row[0] * F.col("features")[0]
+        for j in range(1, n_features):
+            dot = dot + row[j] * F.col("features")[j]
+        base = (F.pow(dot / math.sqrt(n_features) + 3.0, degree) + 1.0) / F.pow(F.lit(3.5), degree)
+        return base * F.when(width == 0, 1.0).otherwise(1.0 - width + 2.0 * width * hash_uniform("noise", F.concat(e.cast("string"), end)))
+
+    edges = F.sequence(F.lit(0), F.lit(n_edges - 1))
+    joined = join_keyed(drawn, patterns, "seed", F.col("instance_id"))
+    return joined.withColumn("costs", F.zip_with("pattern", edges, cost)).drop("pattern")
+
+
 @lru_cache(maxsize=1 << 16)  # some 20 MB
 def _pattern(seed: str, n_edges: int, n_features: int) -> np.ndarray:
     return np.array(cost_pattern(seed, n_edges, n_features), dtype=np.uint8)
