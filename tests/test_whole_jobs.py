@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pipegrid.frame import from_columns
 from pipegrid.functions import joins
 from pipegrid.llm import common, simhash
-from pipegrid.operators import keyed, landmark
+from pipegrid.operators import boosting, keyed, landmark
 from pipegrid.operators.regress import keyed_partial_sums
 from pipegrid.session import cut_lineage
 from tests.conftest import matrix
@@ -113,3 +113,13 @@ class Kept:
     def __call__(self, df):
         self.columns += df.columns
         return df.cache()
+
+
+def test_tree_positions_stop_where_the_trees_do():
+    """Rows go down as far as their tree is split, whatever room it has; (rows, outputs)."""
+    rng = np.random.default_rng(3)
+    x, column, threshold = rng.normal(size=(200, 3)), np.full((2, 31), -1), np.zeros((2, 31))
+    column[1, :3], threshold[1, :3] = [2, 0, 1], [0.1, -0.2, 0.3]
+    at = boosting.Round(column, threshold, np.zeros((2, 31, 1))).positions(x)
+    right = x[:, 2] > 0.1
+    assert (at[:, 0] == 0).all() and (at[:, 1] == np.where(right, 5 + (x[:, 1] > 0.3), 3 + (x[:, 0] > -0.2))).all()
